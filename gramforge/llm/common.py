@@ -12,12 +12,13 @@ Conventions that every operator of this subpackage keeps:
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Characters of text that a Python worker unpacks at once. Only a memory
 #: bound for the batches: every row of every batch is processed, and a text
@@ -72,6 +73,14 @@ def slices(batch: pa.RecordBatch, text_index: int = 1, budget: int = SLICE_CHARS
     yield batch.slice(begin, n - begin)
 
 
+def map_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``df.mapInArrow`` to the same columns, whatever their names: ``work``
+    finds them by position."""
+    safe = [f"_gf_c{i}" for i in range(len(df.columns))]
+    schema = StructType([StructField(s, f.dataType, f.nullable) for s, f in zip(safe, df.schema.fields, strict=True)])
+    return df.toDF(*safe).mapInArrow(work, schema).toDF(*df.columns)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

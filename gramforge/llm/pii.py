@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import named, slices
+from .common import map_rows, named, slices
 
 #: Bound of the synthetic training set and shape of the ensemble.
 TRAIN_SIZE = 6000
@@ -385,4 +385,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 new = [redact_text(t, s) if s else t for t, s in zip(texts, spans_of(texts, trained), strict=True)]
                 yield part.set_column(at, part.schema.field(at), pa.array(new, type=part.schema.field(at).type))
 
-    return docs.mapInArrow(work, docs.schema)
+    return map_rows(docs, work)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import named, slices
+from .common import map_rows, named, slices
 
 #: Bounds of the labelled sample on which the CRF is fitted.
 SAMPLE_TOXIC = 600
@@ -412,4 +412,4 @@ def drop_toxic(docs: DataFrame, model: CrfModel | None, text_col: str = "text")
                 scores, _ = _tag(part.column(at).to_pylist(), model, emission)
                 yield part.filter(pa.array(scores < model.threshold))
 
-    return docs.mapInArrow(work, docs.schema)
+    return map_rows(docs, work)

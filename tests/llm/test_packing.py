@@ -43,7 +43,7 @@ def test_every_token_once(docs, words, clash):
         assert own["tokens"].sum() == sum(len((t or "").split()) for j, t in rows if j == i)
     long = got[got["doc_id"] == 99].sort_values("begin")
     assert (long["begin"].to_numpy() == np.r_[0, long["tokens"].cumsum().to_numpy()[:-1]]).all()
-    assert len(got) - 13 + 1 == sum(bool((t or "").split()) for _, t in rows)
+    assert len(got) == sum(-(-len((t or "").split()) // 400) for _, t in rows)
 
 
 def test_result_does_not_depend_on_row_order(docs, words):

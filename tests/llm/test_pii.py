@@ -1,0 +1,75 @@
+import random
+
+from gramforge.llm import pii as op
+
+TEXT = "write to jan.doe7@mail.example.com or call (555) 201-7788 soon"
+
+
+def test_held_out_accuracy():
+    x, y, _ = op.training_set(1500, seed=99)
+    p = op.model().probability(x)
+    assert ((p >= 0.5) == (y > 0)).mean() > 0.95
+
+
+def test_trees_against_plain_walk():
+    m = op.model().trees
+    x, _, _ = op.training_set(60, seed=4)
+    for row, raw in zip(x, m.raw(x), strict=True):
+        total = m.base
+        for f, c, v in zip(m.feature, m.cut, m.leaf, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + 1 + int(row[f[node]] > c[node])
+            total += v[node - len(f)]
+        assert abs(total - raw) < 1e-9
+
+
+def test_planted_values_go_and_look_alikes_stay(words):
+    r = random.Random(11)
+    caught = wrong = 0
+    n = 300
+    for i in range(n):
+        kind, value = op._positive(r)
+        text = words(i, 12) + " " + value + " " + words(i + 1, 5)
+        caught += value.strip("\"'")[:-2] not in op.redact_text(text, op.spans_of([text], op.model())[0])
+        plain = words(i, 10) + f" version {r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)} of {r.randint(1900, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d} " + words(i, 3)
+        wrong += bool(op.spans_of([plain], op.model())[0])
+    assert caught >= 0.95 * n and wrong <= 0.02 * n
+
+
+def test_spans_do_not_overlap_and_restore_the_text():
+    m = op.model()
+    text = TEXT + " password=abcdef123456 card 4111 1111 1111 1111"
+    (spans,) = op.spans_of([text], m)
+    assert all(a["end"] <= b["start"] for a, b in zip(spans, spans[1:], strict=False))
+    redacted, at = "", 0
+    for s in spans:
+        redacted += text[at : s["start"]] + f"[{s['kind']}]"
+        at = s["end"]
+    assert op.redact_text(text, spans) == redacted + text[at:]
+    assert {s["kind"] for s in spans} >= {"EMAIL", "PHONE"}
+
+
+def test_batches_do_not_matter(words):
+    m = op.model()
+    texts = [TEXT, None, "", words(1, 30), "key 10.1.2.3 " + TEXT]
+    assert op.spans_of(texts, m) == [op.spans_of([t], m)[0] for t in texts]
+
+
+def test_nulls_repeats_clashes_and_empty(docs, clash):
+    rows = [(1, TEXT), (1, TEXT), (2, None), (3, ""), (4, "nothing here"), (None, TEXT)]
+    df = docs(rows, clash)
+    got = op.find_pii(df).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "None"]
+    assert len({r["redacted_text"] for r in got}) == 1 and "@" not in got[0]["redacted_text"]
+    kept = op.redact(df)
+    assert kept.columns == df.columns and kept.count() == len(rows)
+    texts = {r["doc_id"]: r["text"] for r in kept.select("doc_id", "text").collect()}
+    assert texts[4] == "nothing here" and texts[2] is None and texts[3] == "" and texts[1] == got[0]["redacted_text"]
+    assert op.find_pii(docs([])).count() == 0 and op.redact(docs([])).count() == 0
+
+
+def test_long_text_is_scanned_whole(docs):
+    long = "plain words 7 " * 200_000 + "end@example.com"
+    (row,) = op.find_pii(docs([(1, long)])).collect()
+    assert [(s["kind"], s["start"]) for s in row["pii_spans"]] == [("EMAIL", len(long) - 15)]
