@@ -8,7 +8,8 @@ digests; the difference score adds up quartile steps (3 apart counts 6) and
 ``LENGTH_STEP`` for each step of length, and never exceeds ``MAX_SCORE``.
 
 The query digests every document and scores it against every benchmark item,
-reporting the nearest (least id on ties) and its score.
+reporting the nearest (least id on ties) and its score. Nothing is shuffled:
+references go to the documents, ``PASS_REFERENCES`` of them at a time.
 
 Defined results
 ---------------
@@ -33,8 +34,10 @@ from .common import named, slices
 BUCKETS = 128
 LENGTH_STEP = 2
 MAX_SCORE = 255
-#: Benchmark items a task scores against; more are refused, not cut off.
-MAX_REFERENCES = 100_000
+#: References that a pass over the documents scores against; more take more
+#: passes. And cells of the score table that a task computes at once.
+PASS_REFERENCES = 50_000
+CELLS = 2_000_000
 _COST = np.array([[0, 1, 2, 6], [1, 0, 1, 2], [2, 1, 0, 1], [6, 2, 1, 0]], dtype=np.float32)
 
 
@@ -88,6 +91,12 @@ def from_hex(digest: str) -> tuple[np.ndarray, int]:
     return np.stack([b[1:] >> 6, b[1:] >> 4 & 3, b[1:] >> 2 & 3, b[1:] & 3], axis=1).reshape(-1), int(b[0])
 
 
+def from_hexes(known: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(quartiles [n, BUCKETS], length codes [n]) of digests."""
+    b = np.frombuffer(bytes.fromhex("".join(known)), dtype=np.uint8).reshape(len(known), 1 + BUCKETS // 4)
+    return np.stack([b[:, 1:] >> 6, b[:, 1:] >> 4 & 3, b[:, 1:] >> 2 & 3, b[:, 1:] & 3], axis=2).reshape(len(known), BUCKETS), b[:, 0]
+
+
 def difference(a: str, b: str) -> int:
     """Bounded difference score of two digests, 0..MAX_SCORE."""
     (qa, la), (qb, lb) = from_hex(a), from_hex(b)
@@ -105,41 +114,70 @@ def scores(q: np.ndarray, length: np.ndarray, rq: np.ndarray, rlength: np.ndarra
     return np.minimum(MAX_SCORE, body.astype(np.int64) + LENGTH_STEP * gap)
 
 
+def nearest(q: np.ndarray, length: np.ndarray, refs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(least score, its least reference id) of each digest; refs: ids in rising
+    order, quartiles, length codes."""
+    rid, rq, rlength = refs
+    best, near = np.full(len(q), MAX_SCORE + 1, dtype=np.int64), np.zeros(len(q), dtype=np.int64)
+    step = max(1, CELLS // max(1, len(q)))
+    for at in range(0, len(rid), step):
+        s = scores(q, length, rq[at : at + step], rlength[at : at + step])
+        k = s.argmin(axis=1)
+        low = s[np.arange(len(s)), k]
+        near = np.where(low < best, rid[at + k], near)
+        best = np.minimum(low, best)
+    return best, near
+
+
+def _references(items: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of about ``PASS_REFERENCES`` references, digested."""
+    items = items.filter("i IS NOT NULL AND t IS NOT NULL")
+    n = items.count()
+    blocks = -(-n // PASS_REFERENCES)
+    for k in range(blocks):
+        rows = sorted((r["i"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect())
+        yield np.array([i for i, _ in rows], dtype=np.int64), *digests([t for _, t in rows])
+
+
+_COLUMNS = ["_gf_id", "_gf_digest", "_gf_near", "_gf_score"]
+
+
 def fingerprint_documents(
     docs: DataFrame, references: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", ref_id: str = "item_id", ref_text: str = "text"
 ) -> DataFrame:
     """(id_col, digest, nearest_<ref_id>, score) of every input row."""
-    known: list = []
-    if references is not None:
-        items = references.select(named(references, ref_id).cast("bigint").alias("i"), named(references, ref_text).alias("t"))
-        known = items.filter("i IS NOT NULL AND t IS NOT NULL").distinct().limit(MAX_REFERENCES + 1).collect()
-        if len(known) > MAX_REFERENCES:
-            raise ValueError(f"more than {MAX_REFERENCES} references: digest them as documents and join instead")
-    known = sorted((r["i"], r["t"]) for r in known)
-    rq, rlength = digests([t for _, t in known]) if known else (None, None)
-    rid = np.array([i for i, _ in known], dtype=np.int64)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = "_gf_id bigint, _gf_digest string, _gf_near bigint, _gf_score bigint"
+
+    def digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 texts = part.column(1).to_pylist()
                 missing = np.array([t is None for t in texts], dtype=bool)
-                q, length = digests([t or "" for t in texts])
-                digest = pa.array(to_hex(q, length), mask=missing)
-                if len(rid):
-                    s = scores(q, length, rq, rlength)
-                    best = s.argmin(axis=1)
-                    near = pa.array(rid[best], mask=missing)
-                    score = pa.array(s[np.arange(len(s)), best], mask=missing)
-                else:
-                    near = score = pa.nulls(len(texts), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), digest, near, score], names=["_gf_id", "digest", "_gf_near", "score"])
-
-    return (
-        docs.select(named(docs, id_col).cast("bigint").alias("_gf_id"), named(docs, text_col).alias("_gf_text"))
-        .mapInArrow(work, "_gf_id bigint, digest string, _gf_near bigint, score bigint")
-        .select(F.col("_gf_id").alias(id_col), "digest", F.col("_gf_near").alias(f"nearest_{ref_id}"), "score")
-    )
+                digest = pa.array(to_hex(*digests([t or "" for t in texts])), pa.string(), mask=missing)
+                none = pa.nulls(len(texts), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), digest, none, none], names=_COLUMNS)
+
+    def improve(refs: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                known = part.column(1).to_pylist()
+                missing = np.array([d is None for d in known], dtype=bool)
+                q, length = from_hexes([d or "00" * (1 + BUCKETS // 4) for d in known])
+                best, near = nearest(q, length, refs)
+                old, at = (part.column(c).to_pylist() for c in (3, 2))
+                keep = np.array([s is not None and (s, i) <= (b, n) for s, i, b, n in zip(old, at, best.tolist(), near.tolist(), strict=True)], dtype=bool)
+                near = np.where(keep, np.array([i or 0 for i in at], dtype=np.int64), near)
+                best = np.where(keep, np.array([s or 0 for s in old], dtype=np.int64), best)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(near, mask=missing), pa.array(best, mask=missing)], names=_COLUMNS)
+
+        return work
+
+    out = docs.select(named(docs, id_col).cast("bigint").alias("_gf_id"), named(docs, text_col).alias("_gf_text")).mapInArrow(digest_rows, schema)
+    if references is not None:
+        for refs in _references(references.select(named(references, ref_id).cast("bigint").alias("i"), named(references, ref_text).alias("t"))):
+            if len(refs[0]):
+                out = out.mapInArrow(improve(refs), schema)
+    return out.select(F.col("_gf_id").alias(id_col), F.col("_gf_digest").alias("digest"), F.col("_gf_near").alias(f"nearest_{ref_id}"), F.col("_gf_score").alias("score"))
 
 
 def brute_force(text: str) -> str:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -26,9 +27,12 @@ def test_score_is_bounded_and_small_for_near_copies(words):
     assert op.difference("ff" + "ff" * 32, "00" * 33) == op.MAX_SCORE
 
 
-def test_nearest_against_all_pairs(spark, docs, words):
+@pytest.mark.parametrize("limits", [(50_000, 2_000_000), (7, 60)])
+def test_nearest_against_all_pairs(spark, docs, words, monkeypatch, limits):
+    monkeypatch.setattr(op, "PASS_REFERENCES", limits[0])
+    monkeypatch.setattr(op, "CELLS", limits[1])
     r = random.Random(2)
-    refs = [(i, words(i, r.randint(20, 90))) for i in range(25)]
+    refs = [(i, words(i % 20, 40)) for i in range(25)]
     rows = [(100 + i, words(i % 30, r.randint(20, 90))) for i in range(40)]
     got = op.fingerprint_documents(docs(rows), items(spark, refs)).collect()
     assert len(got) == len(rows)
