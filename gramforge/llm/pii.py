@@ -49,7 +49,7 @@ ANCHOR = re.compile(r"[@\d]")
 GENERATORS: list[tuple[str, re.Pattern]] = [
     ("EMAIL", re.compile(r"[\w.+%-]{1,64}@[\w-]+(?:\.[\w-]+)+")),
     ("IP", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)")),
-    ("PHONE", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)?[ .-]?\d{2,4}[ .-]\d{3,4}(?:[ .-]?\d{2,4})?(?!\w)")),
+    ("PHONE", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)?[ .-]?\d{2,4}[ .-]\d{3,4}(?:[ .-]?\d{2,4})?(?!\w|\.\d)")),
     ("CARD", re.compile(r"(?<![\w-])\d(?:[ -]?\d){11,18}(?![\w-])")),
     ("SSN", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("IBAN", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
@@ -195,7 +195,7 @@ def _positive(r: random.Random) -> tuple[str, str]:
         return kind, r.choice([f"+{r.randint(1, 99)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{r.randint(1, 99)} {a} {b} {c}", f"{a}.{b}.{c}", f"+1 {a}-{b}-{c}"])
     if kind == "CARD":
         n = r.choice(["4", "5", "4", "6", "3"]) + digit(14)
-        n += r.choice([next(d for d in "0123456789" if _luhn(n + d)), digit(1)])
+        n += next(d for d in "0123456789" if _luhn(n + d))
         return kind, r.choice([n, n, " ".join(n[i : i + 4] for i in range(0, 16, 4)), "-".join(n[i : i + 4] for i in range(0, 16, 4))])
     if kind == "SSN":
         return kind, f"{digit(3)}-{digit(2)}-{digit(4)}"
@@ -210,6 +210,11 @@ def _positive(r: random.Random) -> tuple[str, str]:
     return kind, r.choice(["AKIA" + mixed, "AKIA" + mixed, "sk_live_" + anything + "1", "ghp_" + anything + "4", hexes, "xoxb-" + digit(11) + "-" + anything])
 
 
+def _not_a_card(n: str, r: random.Random) -> str:
+    """A number whose check digit is wrong."""
+    return n + r.choice([d for d in "0123456789" if not _luhn(n + d)])
+
+
 def _look_alike(r: random.Random) -> str:
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     return r.choice(
@@ -227,6 +232,8 @@ def _look_alike(r: random.Random) -> str:
             lambda: f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}",
             lambda: f"serial {r.choice('0179')}{d(15)}",
             lambda: f"{r.choice('0179')}{d(11)}",
+            lambda: _not_a_card(d(15), r),
+            lambda: _not_a_card(r.choice("3456") + d(14), r),
             lambda: f"pages {d(3)}-{d(3)}",
             lambda: f"{d(2)}:{d(2)}:{d(2)}.{d(3)}",
             lambda: f"{d(1)}.{d(12)}",

@@ -50,6 +50,19 @@ def test_spans_do_not_overlap_and_restore_the_text():
     assert {s["kind"] for s in spans} >= {"EMAIL", "PHONE"}
 
 
+def test_check_digits_and_neighbours(words):
+    m = op.model()
+    r = random.Random(8)
+    valid, wrong = [], []
+    while len(valid) < 40 or len(wrong) < 40:
+        n = "4" + "".join(r.choice("0123456789") for _ in range(15))
+        (valid if op._luhn(n) else wrong).append(n)
+    found = [bool(s) for s in op.spans_of([words(i, 6) + f" {n} " + words(i, 4) for i, n in enumerate(valid[:40] + wrong[:40])], m)]
+    assert sum(found[:40]) >= 38 and sum(found[40:]) <= 2
+    (spans,) = op.spans_of(["es +1 (826) 555-4081 190.137.223.204 du a"], m)
+    assert [s["kind"] for s in spans] == ["PHONE", "IP"]
+
+
 def test_batches_do_not_matter(words):
     m = op.model()
     texts = [TEXT, None, "", words(1, 30), "key 10.1.2.3 " + TEXT]
