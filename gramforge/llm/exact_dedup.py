@@ -7,8 +7,8 @@ when every byte of both has been compared, digit by digit: no digest decides.
 
 The digit grows geometrically (``FIRST_DIGIT`` bytes, then ``GROWTH`` times as
 many), so a text of n bytes takes O(log n) rounds, and each round moves only
-the documents that still share all bytes so far with another one. Round one
-moves only digits and counts, never texts.
+the documents that still share all bytes so far with another one, without the
+bytes already compared. Round one moves only digits and counts, never texts.
 
 Defined results
 ---------------
@@ -22,45 +22,69 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import cut, named
+from .common import broadcast_upto, cut, named
 
 #: Bytes of the first digit and the factor by which each next digit is longer.
 FIRST_DIGIT = 64
 GROWTH = 16
 
 
-def _digit(depth: int, width: int):
-    """Bytes [depth, depth+width) of the text, and whether it ends there."""
-    raw = F.col("_gf_raw")
-    return F.substring(raw, depth + 1, width), F.octet_length(raw) <= depth + width
+#: Bytes of a side that is broadcast at most; a larger one is shuffled.
+BROADCAST_BYTES = 64 << 20
+
+
+def _first_cell(raw: Column) -> Column:
+    """Hash of a text's first digit; null for a null text. Only tells texts that
+    share no first digit apart: cells are split by the digits themselves."""
+    digit, ended = F.substring(raw, 1, FIRST_DIGIT), F.octet_length(raw) <= FIRST_DIGIT
+    return F.when(raw.isNotNull(), F.xxhash64(digit, ended))
 
 
 def _partition(docs: DataFrame, id_col: str, text_col: str, keep_rows: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(first-digit table of shared digits, state of contending rows, duplicates).
+    """(cells of first digits that several rows have, those rows, duplicates).
 
-    The state has _gf_rid, _gf_id and, with keep_rows, the struct _gf_row; the
+    The rows have _gf_rid, _gf_id and, with keep_rows, the struct _gf_row; the
     duplicates have _gf_rid, _gf_id and _gf_keep.
     """
+    raw = F.encode(named(docs, text_col), "UTF-8")
+    heads = docs.filter(raw.isNotNull()).select(
+        F.substring(raw, 1, FIRST_DIGIT).alias("_gf_digit"), (F.octet_length(raw) <= FIRST_DIGIT).alias("_gf_ended")
+    )
+    several = heads.groupBy("_gf_digit", "_gf_ended").agg(F.count(F.lit(1)).alias("_gf_n")).filter("_gf_n > 1")
+    cells = cut(several.select(F.xxhash64("_gf_digit", "_gf_ended").alias("_gf_cell")))
+    shared = broadcast_upto(cells, BROADCAST_BYTES // 16)
     source = docs.select(
         named(docs, id_col).alias("_gf_id"),
-        F.encode(named(docs, text_col), "UTF-8").alias("_gf_raw"),
-        *([F.struct(*[named(docs, c) for c in docs.columns]).alias("_gf_row")] if keep_rows else []),
-    ).filter("_gf_raw IS NOT NULL")
-
-    digit, ended = _digit(0, FIRST_DIGIT)
-    heads = source.withColumn("_gf_digit", digit).withColumn("_gf_ended", ended)
-    shared = cut(
-        heads.groupBy("_gf_digit", "_gf_ended").agg(F.count(F.lit(1)).alias("_gf_n")).filter("_gf_n > 1").drop("_gf_n")
+        _first_cell(raw).alias("_gf_cell"),
+        F.struct(*[named(docs, c) for c in docs.columns]).alias("_gf_row") if keep_rows else raw.alias("_gf_raw"),
     )
-    state = heads.join(shared, ["_gf_digit", "_gf_ended"], "left_semi").withColumn("_gf_rid", F.monotonically_increasing_id())
-    state = cut(state)
+    kept = source.join(shared, "_gf_cell", "left_semi").withColumn("_gf_rid", F.monotonically_increasing_id())
+    state = cut(kept.drop("_gf_cell"))
+    if keep_rows:
+        struct = state.schema["_gf_row"].dataType
+        safe = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(struct.fields)])
+        text = F.encode(F.col("_gf_row").cast(safe)[f"c{docs.columns.index(text_col)}"], "UTF-8")
+    else:
+        text = F.col("_gf_raw")
+
+    def digits(rows: DataFrame, rest: Column, width: int, *group: str) -> DataFrame:
+        """Rows with their next digit, whether they end with it, and what is left."""
+        return rows.select(
+            "_gf_rid",
+            "_gf_id",
+            *group,
+            F.substring(rest, 1, width).alias("_gf_digit"),
+            (F.octet_length(rest) <= width).alias("_gf_ended"),
+            F.substring(rest, width + 1, 2**31 - 1).alias("_gf_raw"),
+        )
 
-    contending = state.select("_gf_rid", "_gf_id", "_gf_raw", "_gf_digit", "_gf_ended")
-    by: list[str] = ["_gf_digit", "_gf_ended"]
-    depth, width = FIRST_DIGIT, FIRST_DIGIT * GROWTH
+    width = FIRST_DIGIT
+    contending = digits(state, text, width)
+    by = ["_gf_digit", "_gf_ended"]
     duplicates: DataFrame | None = None
     while True:
         groups = cut(
@@ -72,7 +96,9 @@ def _partition(docs: DataFrame, id_col: str, text_col: str, keep_rows: bool) ->
             )
             .filter("_gf_n > 1")
         )
-        split = contending.join(groups, by)
+        # First digits are short and can be sent to the texts; longer ones would
+        # outgrow a broadcast, and only copies or long common beginnings remain.
+        split = contending.join(broadcast_upto(groups, BROADCAST_BYTES // 128) if width == FIRST_DIGIT else groups, by)
         ended_rows = split.filter("_gf_ended").select(
             "_gf_rid",
             "_gf_id",
@@ -83,19 +109,10 @@ def _partition(docs: DataFrame, id_col: str, text_col: str, keep_rows: bool) ->
         duplicates = found if duplicates is None else duplicates.unionByName(found)
         if not groups.filter("NOT _gf_ended").limit(1).count():
             return shared, state, duplicates
-        digit, ended = _digit(depth, width)
-        contending = cut(
-            split.filter("NOT _gf_ended").select(
-                "_gf_rid",
-                "_gf_id",
-                "_gf_raw",
-                F.col("_gf_next").alias("_gf_group"),
-                digit.alias("_gf_digit"),
-                ended.alias("_gf_ended"),
-            )
-        )
+        width *= GROWTH
+        going_on = split.filter("NOT _gf_ended").withColumn("_gf_group", F.col("_gf_next"))
+        contending = cut(digits(going_on, F.col("_gf_raw"), width, "_gf_group"))
         by = ["_gf_group", "_gf_digit", "_gf_ended"]
-        depth, width = depth + width, width * GROWTH
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,14 +127,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows without those that repeat an earlier document's text."""
     shared, state, duplicates = _partition(docs, id_col, text_col, keep_rows=True)
-    raw = F.encode(named(docs, text_col), "UTF-8")
-    alone = (
-        docs.withColumns({"_gf_digit": F.substring(raw, 1, FIRST_DIGIT), "_gf_ended": F.octet_length(raw) <= FIRST_DIGIT})
-        .join(shared, ["_gf_digit", "_gf_ended"], "left_anti")
-        .select(*[named(docs, c) for c in docs.columns])
-    )
-    stay = state.join(duplicates.select("_gf_rid"), "_gf_rid", "left_anti").select("_gf_row.*")
-    return alone.unionByName(stay)
+    cell = _first_cell(F.encode(named(docs, text_col), "UTF-8"))
+    alone = docs.withColumn("_gf_cell", cell).join(shared, "_gf_cell", "left_anti").select(*[named(docs, c) for c in docs.columns])
+    gone = broadcast_upto(cut(duplicates.select("_gf_rid")), BROADCAST_BYTES // 16)
+    return alone.unionByName(state.join(gone, "_gf_rid", "left_anti").select("_gf_row.*"))
 
 
 def brute_force(rows: list[tuple]) -> set[tuple]:
