@@ -27,10 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import named
+from .common import broadcast_upto, cut, named, table_stats
 
 RATIO = 0.5
 MIN_PAGES = 4
+#: Hosts and boilerplate lines up to these numbers are broadcast, so that a host
+#: of many pages stays spread; more are shuffled, skewed hosts being split.
+BROADCAST_HOSTS = 1_000_000
+BROADCAST_KEYS = 1_000_000
 _HIDDEN = r"(?is)<(?:script|style)\b[^>]*>.*?</(?:script|style)>|<!--.*?-->"
 _BREAK = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|nav|header|footer|article|section|main|aside|title|body|head|html|blockquote|pre)\b[^>]*>|[\r\n]+"
 _TAG = r"<[^>]*>"
@@ -67,13 +71,14 @@ def drop_boilerplate(
         .agg(F.count(F.lit(1)).alias("_gf_n"))
         .filter(F.col("_gf_n") > F.lit(ratio * min_pages))
     )
-    bad = (
-        seen.join(totals, "_gf_host")
+    bad = cut(
+        seen.join(broadcast_upto(cut(totals), BROADCAST_HOSTS), "_gf_host")
         .filter((F.col("_gf_pages") >= min_pages) & (F.col("_gf_n") > F.lit(float(ratio)) * F.col("_gf_pages")))
         .groupBy("_gf_host")
         .agg(F.collect_list("_gf_key").alias("_gf_bad"))
     )
-    joined = lined.join(bad, "_gf_host", "left")
+    keys = table_stats(bad, F.sum(F.size("_gf_bad")).alias("n"))["n"] or 0
+    joined = lined.join(F.broadcast(bad) if keys <= BROADCAST_KEYS else bad, "_gf_host", "left")
     kept = F.when(F.col("_gf_bad").isNull(), F.col("_gf_lines")).otherwise(
         F.filter("_gf_lines", lambda x: ~F.array_contains(F.col("_gf_bad"), digest(x)))
     )

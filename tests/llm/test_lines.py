@@ -1,6 +1,8 @@
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from gramforge.llm import lines as op
 
 SCHEMA = "page_id bigint, url string, html string"
@@ -33,7 +35,10 @@ def page(*blocks):
     return "<html><head><style>p{}</style></head><body>" + "".join(f"<p> {b} </p>" for b in blocks) + "</body></html>"
 
 
-def test_against_brute_force(spark, words):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_against_brute_force(spark, words, monkeypatch, most):
+    monkeypatch.setattr(op, "BROADCAST_HOSTS", most)
+    monkeypatch.setattr(op, "BROADCAST_KEYS", most)
     rows = []
     for h in range(5):
         for k in range(3 + 2 * h):
