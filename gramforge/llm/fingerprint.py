@@ -7,8 +7,17 @@ the length: 33 bytes, 66 hexadecimal digits. Similar documents have similar
 digests; the difference score adds up quartile steps (3 apart counts 6) and
 ``LENGTH_STEP`` for each step of length, and never exceeds ``MAX_SCORE``.
 
-The query digests every document and scores it against every benchmark item,
-reporting the nearest (least id on ties) and its score. Nothing is shuffled:
+The query digests every document and scores documents against each other:
+every pair within ``NEAR`` is a row of its own. Equal digests are one node and
+always pair. Of distinct digests, those that agree in ``BAND_BITS`` fixed
+positions of the 128 bits "count above the median" share a cell, of ``TABLES``
+such choices of positions; all pairs of a cell are scored, and a pair is
+reported by the first cell it shares. Pairs that share no cell are missed: a
+pair that differs in h of the 128 bits is found with probability
+1-(1-(1-h/128)^BAND_BITS)^TABLES. Cells have no size limit.
+
+As an extra, every document is scored against every benchmark item, reporting
+the nearest (least id on ties) and its score. For that nothing is shuffled:
 references go to the documents, ``PASS_REFERENCES`` of them at a time.
 
 Defined results
@@ -16,7 +25,10 @@ Defined results
 * null text: null digest, no score.  texts under 3 bytes: no triplet, so all
   buckets are equal (quartile 0); the length still tells them apart.
 * quartile ties: a count equal to a quartile bound falls below it.
-* repeated rows: one result row each.  very long texts: counted whole.
+* repeated rows: one result row each; their id pairs once.  very long texts:
+  counted whole.
+* pairs: null ids and null texts take no part, nor does an id pair with itself;
+  an id on several texts pairs by each of them.
 * no benchmark items: null nearest and score.  extra columns: ignored.
 """
 
@@ -29,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import named, slices
+from .common import cut, named, slices
 
 BUCKETS = 128
 LENGTH_STEP = 2
@@ -38,6 +50,14 @@ MAX_SCORE = 255
 #: passes. And cells of the score table that a task computes at once.
 PASS_REFERENCES = 50_000
 CELLS = 2_000_000
+#: Documents within this difference score are reported as a pair.
+NEAR = 16
+#: Positions per choice and number of choices; pairs of rows emitted at once.
+BAND_BITS = 30
+TABLES = 20
+EMIT = 100_000
+#: Cells up to this size compare their pairs together with other cells'.
+SMALL_CELL = 256
 _COST = np.array([[0, 1, 2, 6], [1, 0, 1, 2], [2, 1, 0, 1], [6, 2, 1, 0]], dtype=np.float32)
 
 
@@ -180,6 +200,163 @@ def fingerprint_documents(
     return out.select(F.col("_gf_id").alias(id_col), F.col("_gf_digest").alias("digest"), F.col("_gf_near").alias(f"nearest_{ref_id}"), F.col("_gf_score").alias("score"))
 
 
+def _bits(q: np.ndarray) -> np.ndarray:
+    """Quartiles as bits, uint64 [n, 6]: two words each of above the median,
+    above the first and above the third quartile bound."""
+    words = [np.ascontiguousarray(np.packbits(q >= k, axis=1)).view(np.uint64) for k in (2, 1, 3)]
+    return np.concatenate(words, axis=1)
+
+
+def _bit_scores(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """Difference scores of digests as bits, row by row."""
+    steps = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    far = np.bitwise_count((a[:, 4:] & ~b[:, 2:4]) | (b[:, 4:] & ~a[:, 2:4])).sum(axis=1, dtype=np.int64)
+    gap = np.abs(la.astype(np.int64) - lb)
+    return np.minimum(MAX_SCORE, steps + (_COST[0, 3] - 3).astype(np.int64) * far + LENGTH_STEP * gap)
+
+
+def _positions() -> np.ndarray:
+    rng = np.random.default_rng(20240301)
+    return np.stack([rng.choice(BUCKETS, BAND_BITS, replace=False) for _ in range(TABLES)])
+
+
+def cell_keys(q: np.ndarray) -> np.ndarray:
+    """Cell of each digest in each table, [n, TABLES]; the table in the low byte."""
+    above = (q >= 2).astype(np.int64)
+    weights = np.int64(1) << np.arange(8, 8 + BAND_BITS, dtype=np.int64)
+    return np.stack([above[:, p] @ weights + t for t, p in enumerate(_positions())], axis=1)
+
+
+def _cell_pairs(bits: np.ndarray, length: np.ndarray, near: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, score) of all pairs a < b of a cell's members within ``near``."""
+    n = len(bits)
+    step = max(1, CELLS // n)
+    for at in range(0, n - 1, step):
+        own, rest = bits[at : at + step], bits[at + 1 :]
+        # Differing bits of one kind bound the score from below.
+        low = np.bitwise_count(own[:, None, 0] ^ rest[None, :, 0]) + np.bitwise_count(own[:, None, 1] ^ rest[None, :, 1])
+        a, b = np.nonzero(low <= near)
+        a, b = a + at, b + at + 1
+        a, b = a[a < b], b[a < b]
+        for begin in range(0, len(a), EMIT):
+            u, v = a[begin : begin + EMIT], b[begin : begin + EMIT]
+            s = _bit_scores(bits[u], bits[v], length[u], length[v])
+            yield u[s <= near], v[s <= near], s[s <= near]
+
+
+def _small_cell_pairs(key: np.ndarray, bits: np.ndarray, length: np.ndarray, near: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same of many cells at once; rows are sorted by key."""
+    left, step = np.arange(len(key)), 0
+    while len(left):
+        step += 1
+        left = left[left + step < len(key)]
+        left = left[key[left + step] == key[left]]
+        a, b = left, left + step
+        low = np.bitwise_count(bits[a, 0] ^ bits[b, 0]) + np.bitwise_count(bits[a, 1] ^ bits[b, 1])
+        a, b = a[low <= near], b[low <= near]
+        s = _bit_scores(bits[a], bits[b], length[a], length[b])
+        yield a[s <= near], b[s <= near], s[s <= near]
+
+
+def _first_shared(bits: np.ndarray, a: np.ndarray, b: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether a pair that shares a cell of ``table`` shares none of an earlier one."""
+    chosen = np.zeros((TABLES, BUCKETS), dtype=bool)
+    np.put_along_axis(chosen, _positions(), True, axis=1)
+    differ, first = bits[a, :2] ^ bits[b, :2], np.ones(len(a), dtype=bool)
+    for t, mask in enumerate(np.packbits(chosen, axis=1).view(np.uint64)):
+        first &= (table <= t) | (differ & mask).any(axis=1)
+    return first
+
+
+_NODE = "_gf_key bigint, _gf_digest string, _gf_near bigint, _gf_score bigint, _gf_ids array<bigint>"
+
+
+def _to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in batches:
+        if part.num_rows:
+            keys = cell_keys(from_hexes(part.column(0).to_pylist())[0])
+            for t in range(TABLES):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, t]), *part.columns], names=["_gf_key", *part.schema.names])
+
+
+def _pair_batches(near: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [b for b in batches if b.num_rows]
+        if not tables:
+            return
+        whole = pa.Table.from_batches(tables).combine_chunks()
+        key = whole.column(0).to_numpy()
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        ends = np.r_[starts[1:], len(key)]
+        ids = whole.column(4).combine_chunks()
+        flat = ids.flatten().to_numpy()
+        size = ids.value_lengths().to_numpy().astype(np.int64)
+        first = np.cumsum(size) - size
+
+        def emit(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Pairs of ids of pairs of nodes, by rows of ``whole``."""
+            until = np.cumsum(size[a] * size[b])
+            for begin in range(0, int(until[-1]) if len(until) else 0, EMIT):
+                at = np.arange(begin, min(begin + EMIT, until[-1]))
+                pair = np.searchsorted(until, at, side="right")
+                at -= until[pair] - size[a[pair]] * size[b[pair]]
+                na, nb = a[pair], b[pair]
+                x, y = flat[first[na] + at // size[nb]], flat[first[nb] + at % size[nb]]
+                keep = np.where(na == nb, x < y, x != y)
+                x, y, na, nb, pair = (v[keep] for v in (x, y, na, nb, pair))
+                own = whole.select([1, 2, 3]).take(pa.array(np.where(x < y, na, nb)))
+                columns = [pa.array(np.minimum(x, y)), *(c.combine_chunks() for c in own.columns), pa.array(np.maximum(x, y)), pa.array(score[pair])]
+                yield pa.RecordBatch.from_arrays(columns, names=[*_COLUMNS, "_gf_other", "_gf_difference"])
+
+        same = np.flatnonzero((whole.column(0).to_numpy() & 255 == 0) & (size > 1))
+        yield from emit(same, same, np.zeros(len(same), dtype=np.int64))
+        sizes = ends - starts
+        inner = np.repeat(sizes > 1, sizes)
+        order, key, large = order[inner], key[inner], np.repeat(sizes > SMALL_CELL, sizes)[inner]
+        if not len(order):
+            return
+        q, length = from_hexes(whole.column(1).take(pa.array(order)).to_pylist())
+        bits = _bits(q)
+
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            small = np.flatnonzero(~large)
+            for a, b, score in _small_cell_pairs(key[small], bits[small], length[small], near):
+                yield small[a], small[b], score
+            at = np.flatnonzero(large)
+            for own in np.split(at, np.flatnonzero(np.diff(key[at])) + 1) if len(at) else []:
+                for a, b, score in _cell_pairs(bits[own], length[own], near):
+                    yield own[a], own[b], score
+
+        for a, b, score in found():
+            new = _first_shared(bits, a, b, key[a] & 255)
+            yield from emit(order[a[new]], order[b[new]], score[new])
+
+    return work
+
+
+def fingerprint_pairs(
+    docs: DataFrame, references: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", ref_id: str = "item_id", ref_text: str = "text", near: int = NEAR
+) -> DataFrame:
+    """``fingerprint_documents``, and near_<id_col>, near_score: null in the row
+    that each input row has, and set in one more row for every pair of ids within
+    ``near``, which stands with the lesser id."""
+    prints = cut(fingerprint_documents(docs, references, id_col, text_col, ref_id, ref_text)).toDF(*_COLUMNS)
+    nodes = (
+        prints.filter("_gf_id IS NOT NULL AND _gf_digest IS NOT NULL")
+        .groupBy("_gf_digest")
+        .agg(F.first("_gf_near").alias("_gf_near"), F.first("_gf_score").alias("_gf_score"), F.collect_set("_gf_id").alias("_gf_ids"))
+    )
+    pairs = (
+        nodes.mapInArrow(_to_cells, _NODE)
+        .repartition("_gf_key")
+        .mapInArrow(_pair_batches(near), "_gf_id bigint, _gf_digest string, _gf_near bigint, _gf_score bigint, _gf_other bigint, _gf_difference bigint")
+    )
+    alone = prints.withColumns({c: F.lit(None).cast("bigint") for c in ("_gf_other", "_gf_difference")})
+    return alone.unionByName(pairs).toDF(id_col, "digest", f"nearest_{ref_id}", "score", f"near_{id_col}", "near_score")
+
+
 def brute_force(text: str) -> str:
     """Digest by plain loops; for tests."""
     raw = text.encode()

@@ -65,3 +65,35 @@ def test_no_references_and_empty_table(spark, docs):
     (row,) = op.fingerprint_documents(docs([(1, "some text")])).collect()
     assert row["digest"] and row["score"] is None
     assert op.fingerprint_documents(docs([]), items(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("small", [256, 2])
+def test_pairs_of_documents_against_all_pairs(spark, docs, words, monkeypatch, small):
+    monkeypatch.setattr(op, "SMALL_CELL", small)
+    monkeypatch.setattr(op, "EMIT", 7)
+    rows = []
+    for base in range(12):
+        text = words(base, 400).split()
+        for k in range(5):
+            rows.append((100 * base + k, " ".join(text[: 30 * k] + text[31 * k :])))
+    rows += [(5000 + k, rows[0][1]) for k in range(4)] + [(5000, rows[0][1]), (6000, None), (None, rows[0][1]), (6001, ""), (6002, "ab")]
+    got = op.fingerprint_pairs(docs(rows)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got if r["near_doc_id"] is None) == sorted((i is None, i or 0) for i, _ in rows)
+    known = {i: op.brute_force(t) for i, t in rows if i is not None and t is not None}
+    expected = {(i, j, s) for i in known for j in known if i < j and (s := op.difference(known[i], known[j])) <= op.NEAR}
+    pairs = [(r["doc_id"], r["near_doc_id"], r["near_score"]) for r in got if r["near_doc_id"] is not None]
+    assert len(set(pairs)) == len(pairs) and set(pairs) <= expected
+    assert len(pairs) >= 0.9 * len(expected) and {p for p in expected if p[2] == 0} <= set(pairs)
+    assert any(0 < s for _, _, s in pairs) and all(r["digest"] == known[r["doc_id"]] for r in got if r["near_doc_id"] is not None)
+    assert op.fingerprint_pairs(docs([])).count() == 0
+
+
+def test_query_finds_near_copies_among_documents(spark, docs, words, tmp_path):
+    from gramforge.llm import queries
+
+    base = words(1, 400)
+    docs([(1, base), (2, base.replace(base.split()[7], "changed", 1)), (3, words(2, 400)), (4, base)]).write.parquet(f"{tmp_path}/documents.parquet")
+    items(spark, [(9, words(1, 30))]).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = queries.op4_fingerprint(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["near_doc_id"]) for r in got if r["near_doc_id"]} == {(1, 2), (1, 4), (2, 4)}
+    assert all(r["nearest_item_id"] == 9 for r in got)
