@@ -44,7 +44,7 @@ DEPTH = 3
 BINS = 32
 
 #: No candidate is without one of these.
-ANCHOR = re.compile(r"[@\d]")
+ANCHOR = re.compile(r"[@\d=:]")
 
 GENERATORS: list[tuple[str, re.Pattern]] = [
     ("EMAIL", re.compile(r"[\w.+%-]{1,64}@[\w-]+(?:\.[\w-]+)+")),
@@ -116,6 +116,7 @@ def features(text: str, g: int, start: int, end: int) -> list[float]:
         float(digits[:1] or 0),
         float(bool(re.search(r"\.[A-Za-z]{2,}$", span))),
         sum(a.isdigit() != b.isdigit() for a, b in zip(span, span[1:], strict=False)) / n,
+        sum(a.islower() and b.isupper() for a, b in zip(span, span[1:], strict=False)),
         *(float(bool(k.search(before))) for k in _KEYWORDS),
         float(before[-1:].isspace() or not before),
         float(before[-1:] in "$€£#/"),
@@ -206,7 +207,9 @@ def _positive(r: random.Random) -> tuple[str, str]:
     anything = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(r.randint(12, 40)))
     if kind == "SECRET":
         name = r.choice(["password", "token", "secret", "api_key", "auth_token", "pwd", "passwd", "access_key"])
-        return kind, r.choice([f"{name}={hexes}", f'{name} = "{hexes}"', f"{name}: {anything}1", f"{name}='{anything}'"])
+        camel = "".join(letters(r.randint(2, 8)).capitalize() for _ in range(r.randint(3, 4)))
+        worded = r.choice([camel, "".join(r.choice([str.upper, str.lower])(c) for c in letters(r.randint(12, 30)))])
+        return kind, r.choice([f"{name}={hexes}", f'{name} = "{hexes}"', f"{name}: {anything}1", f"{name}='{anything}'", f'{name} = "{worded}"', f"{name}: {worded}", f"{name}={worded}"])
     return kind, r.choice(["AKIA" + mixed, "AKIA" + mixed, "sk_live_" + anything + "1", "ghp_" + anything + "4", hexes, "xoxb-" + digit(11) + "-" + anything])
 
 
@@ -239,6 +242,7 @@ def _look_alike(r: random.Random) -> str:
             lambda: f"{d(1)}.{d(12)}",
             lambda: f"token: {r.choice(_FILL)}{r.choice(_FILL)}ing",
             lambda: f"key = {r.choice(_FILL)}{r.choice(_FILL)}",
+            lambda: f"{r.choice(['password', 'secret', 'token', 'Key', 'auth'])}: {r.choice(_FILL).capitalize()}{r.choice(_FILL)}{r.choice(_FILL)}",
             lambda: "-".join(r.choice(_FILL) for _ in range(5)) + "-2",
             lambda: "_".join(r.choice(_FILL) for _ in range(5)) + d(1),
             lambda: f"{r.choice(_FILL)}@{r.choice(_FILL)}",

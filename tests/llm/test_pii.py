@@ -86,3 +86,19 @@ def test_long_text_is_scanned_whole(docs):
     long = "plain words 7 " * 200_000 + "end@example.com"
     (row,) = op.find_pii(docs([(1, long)])).collect()
     assert [(s["kind"], s["start"]) for s in row["pii_spans"]] == [("EMAIL", len(long) - 15)]
+
+
+def test_secrets_without_digits():
+    m = op.model()
+    for secret in ('password = "CorrectHorseBattery"', "token: QwErTyUiOpAsDf", "api_key=XkQzRtVbNmLpWsDf"):
+        text = f"log in with {secret} today"
+        (alone,), (among,) = op.spans_of([text], m), op.spans_of([text + " or in chapter 7"], m)
+        assert alone == among and [s["kind"] for s in alone] == ["SECRET"], secret
+    assert op.spans_of(["the key: important things", "password: required here"], m) == [[], []]
+
+
+def test_every_candidate_passes_the_prefilter():
+    r = random.Random(3)
+    for _ in range(2000):
+        text = "".join(r.choice('ab @.:=-_"7') for _ in range(20)) + r.choice(["token:", "password =", "key"]) + r.choice([" abcdefgh", "abcdefgh", "=abcdefgh"])
+        assert op.ANCHOR.search(text) or not op.candidates(text)
