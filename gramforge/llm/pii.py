@@ -46,10 +46,21 @@ BINS = 32
 #: No candidate is without one of these.
 ANCHOR = re.compile(r"[@\d=:]")
 
+#: Forms of phone numbers; the first that fits at a place is proposed.
+_PHONES = (
+    r"(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)?[ .-]?\d{2,4}[ .-]\d{3,4}(?:[ .-]?\d{2,4})?(?!\w|\.\d|[ .-]\d{2}(?!\w|\.\d))",  # 3-3-4 and the like
+    r"(?:\+|00)[1-9]\d{6,14}",  # E.164
+    r"(?=(?:[^\d\n]{0,3}\d){7})(?:\+|00)\d{1,6}(?: ?\(0\) ?\d{1,5})?(?:[ ./-](?!\d{1,3}(?:\.\d{1,3}){3}(?!\w))\(?\d{1,8}\)?){1,5}",  # grouped after a country code
+    r"\d{2,3}(?:[ .-]\d{2}){3,4}",  # groups of two digits
+    r"\(?0\d{1,5}\)?(?: ?[/-] ?| )\d{3,8}(?:[ -]\d{1,5})?",  # area code, number
+    r"\d{9,11}",
+    r"(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)?[ .-]?\d{2,4}[ .-]\d{3,4}(?:[ .-]?\d{2,4})?",
+)
+
 GENERATORS: list[tuple[str, re.Pattern]] = [
     ("EMAIL", re.compile(r"[\w.+%-]{1,64}@[\w-]+(?:\.[\w-]+)+")),
     ("IP", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)")),
-    ("PHONE", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)?[ .-]?\d{2,4}[ .-]\d{3,4}(?:[ .-]?\d{2,4})?(?!\w|\.\d)")),
+    ("PHONE", re.compile(rf"(?<![\w+])(?:{'|'.join(_PHONES)})(?!\w|\.\d)")),
     ("CARD", re.compile(r"(?<![\w-])\d(?:[ -]?\d){11,18}(?![\w-])")),
     ("SSN", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("IBAN", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
@@ -193,7 +204,22 @@ def _positive(r: random.Random) -> tuple[str, str]:
         return kind, ".".join(str(r.randint(1 if i == 0 else 0, 255)) for i in range(4))
     if kind == "PHONE":
         a, b, c = digit(3), digit(3), digit(4)
-        return kind, r.choice([f"+{r.randint(1, 99)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{r.randint(1, 99)} {a} {b} {c}", f"{a}.{b}.{c}", f"+1 {a}-{b}-{c}"])
+        if r.random() < 0.5:
+            return kind, r.choice([f"+{r.randint(1, 99)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{r.randint(1, 99)} {a} {b} {c}", f"{a}.{b}.{c}", f"+1 {a}-{b}-{c}"])
+        country, area, two = r.choice(["+", "+", "00"]) + str(r.randint(1, 99)), digit(r.randint(1, 4)), lambda k: r.choice(" .-  ").join(digit(2) for _ in range(k))
+        return kind, r.choice(
+            [
+                country + str(r.randint(1, 9)) + digit(r.randint(7, 10)),
+                f"{country} {r.choice(['', '(0)'])}{area}{r.choice([' ', ' ', '-', '/'])}{digit(r.randint(5, 8))}",
+                f"{country} {digit(1)} {two(4)}",
+                f"{country} {a} {two(3)}",
+                f"0{r.randint(1, 9)} {two(4)}",
+                f"{r.choice('6789')}{digit(2)} {two(3)}",
+                f"0{r.randint(1, 9)}{digit(r.randint(0, 3))}{r.choice([' ', '/', '/', '-', ' / '])}{digit(r.randint(5, 8))}",
+                f"{r.choice('23456789')}{digit(9)}",
+                f"0{r.choice('1679')}{digit(r.randint(8, 9))}",
+            ]
+        )
     if kind == "CARD":
         n = r.choice(["4", "5", "4", "6", "3"]) + digit(14)
         n += next(d for d in "0123456789" if _luhn(n + d))
@@ -237,7 +263,15 @@ def _look_alike(r: random.Random) -> str:
             lambda: f"{r.choice('0179')}{d(11)}",
             lambda: _not_a_card(d(15), r),
             lambda: _not_a_card(r.choice("3456") + d(14), r),
+            lambda: f"00{d(14)}",
             lambda: f"pages {d(3)}-{d(3)}",
+            lambda: f"{r.choice(['', 'order ', 'id ', 'ticket ', 'item no. ', 'at '])}{r.randint(1, 9)}{d(r.randint(8, 10))}",
+            lambda: f"{r.choice(['', 'no. ', 'serial '])}0{d(r.randint(8, 10))}",
+            lambda: " ".join(d(2) for _ in range(r.randint(4, 6))),
+            lambda: f"{r.randint(1, 31):02d}.{r.randint(1, 12):02d}.{r.randint(10, 30)} {r.randint(0, 23):02d}.{d(2)}",
+            lambda: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}-{d(2)}-{d(2)}",
+            lambda: f"0{d(1)}/{r.randint(1900, 2030)}",
+            lambda: f"0{d(1)} {d(3)} {r.choice(['items', 'km', 'euro'])}",
             lambda: f"{d(2)}:{d(2)}:{d(2)}.{d(3)}",
             lambda: f"{d(1)}.{d(12)}",
             lambda: f"token: {r.choice(_FILL)}{r.choice(_FILL)}ing",
@@ -277,8 +311,8 @@ def training_set(size: int = TRAIN_SIZE, seed: int = 5) -> tuple[np.ndarray, np.
         hint = r.random() < 0.2
         if r.random() < 0.5:
             kind, value = _positive(r)
-            if hint:
-                left += {"EMAIL": " mail", "PHONE": " phone", "CARD": " card", "IP": " host"}.get(kind, "")
+            if hint or kind == "PHONE" and value.isdigit():  # bare digits are a phone number by their context only
+                left += {"EMAIL": " mail", "PHONE": r.choice([" phone", " call", " tel", " mobile"]), "CARD": " card", "IP": " host"}.get(kind, "")
         else:
             kind, value = "", _look_alike(r)
         glue = r.choice([" ", " ", "\n"])

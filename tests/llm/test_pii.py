@@ -102,3 +102,20 @@ def test_every_candidate_passes_the_prefilter():
     for _ in range(2000):
         text = "".join(r.choice('ab @.:=-_"7') for _ in range(20)) + r.choice(["token:", "password =", "key"]) + r.choice([" abcdefgh", "abcdefgh", "=abcdefgh"])
         assert op.ANCHOR.search(text) or not op.candidates(text)
+
+
+PHONES = "+4915112345678;+49 151 12345678;+49 30 123456;030 12345678;030/1234567;+33 1 23 45 67 89;01 23 45 67 89;612 34 56 78;+34 612 34 56 78;5551234567;0049 30 123456;+49 (0)30 123456;555-201-7788"
+
+
+def test_phone_forms_are_proposed_and_redacted():
+    m, g = op.model(), op.KINDS.index("PHONE")
+    for phone in PHONES.split(";"):
+        text = f"call {phone} now"
+        assert (g, 5, 5 + len(phone)) in op.candidates(text), phone
+        assert op.redact_text(text, op.spans_of([text], m)[0]) == "call [PHONE] now", phone
+
+
+def test_phone_look_alikes_stay():
+    m = op.model()
+    for text in ("order 482193057 came", "of 2021-03-04 and 1999-2004", "pages 123-456 and", "on 12.04.2021 we", "the id 1699999999 is", "03/2021 was cold"):
+        assert op.spans_of([text], m) == [[]], text
