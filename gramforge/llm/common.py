@@ -98,3 +98,20 @@ def broadcast_upto(df: DataFrame, rows: int) -> DataFrame:
     """A materialised ``df``, to be broadcast if it has at most so many rows;
     a larger one is left for the planner to shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def safe_names(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named ``_gf_c0``, ``_gf_c1``, ...: no working column is named so."""
+    return df.toDF(*[f"_gf_c{i}" for i in range(len(df.columns))])
+
+
+def without(df: DataFrame, id_col: str, gone: DataFrame, rows: int) -> DataFrame:
+    """``df`` without the rows whose id is in ``gone`` (one column, no nulls).
+
+    Up to so many ids are sent to the rows, which then stay where they are; more
+    would outgrow the executors, and rows and ids are shuffled by id.
+    """
+    plain = safe_names(df)
+    ids = broadcast_upto(cut(gone.toDF("_gf_gone")), rows)
+    at = df.columns.index(id_col)
+    return plain.join(ids, F.col(f"_gf_c{at}") == F.col("_gf_gone"), "left_anti").toDF(*df.columns)
