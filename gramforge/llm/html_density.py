@@ -12,15 +12,19 @@ node of greatest density sum; from the body down, wherever a node reaches the
 threshold, the node of greatest density sum in its subtree is content, and the
 content is given in document order.
 
-Pages are parsed by one regular expression and an explicit stack, so depth is
-no limit; unclosed and stray tags are repaired the way browsers repair the
-common cases (p, li, option, table parts, void elements).
+Pages are parsed by one regular expression, whose repetitions never go back, and
+an explicit stack with the depths of the open elements of each name, so that time
+is linear in a page whatever its tags are and depth is no limit. Unclosed and
+stray tags are repaired the way browsers repair the common cases (p, li, option,
+table parts, void elements); a tag, comment or script that never ends reaches to
+the end of the page, a quote that never ends is a character like any other.
 
 Defined results
 ---------------
 * null html: null content.   empty html, or no text at all: empty content.
 * no body element: the whole page is the body.
-* ties in density sum: the node that begins first.
+* very long, deep or broken pages: processed whole, in linear time.
+* ties in density sum: the node that begins first.   page ids of any type.
 * repeated rows: each by itself.   extra columns: ignored.   empty table: empty.
 """
 
@@ -29,6 +33,8 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,8 +42,9 @@ from pyspark.sql import DataFrame
 
 from .common import named, slices
 
+_INSIDE = r"""(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+(?:>|\Z)"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|$)|<[!?][^>]*(?:>|$)",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea)\b[^>]*+(?:>|\Z).*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+){_INSIDE}|<[!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -74,11 +81,17 @@ def parse(page: str) -> tuple[Node, list[Node]]:
     """(root, all nodes in document order)."""
     root = Node("#root", None)
     nodes = [root]
-    at = root
+    path = [root]
+    # Depths at which elements of each name are open, rising.
+    depths: dict[str, list[int]] = defaultdict(list)
 
     def text(piece: str) -> None:
-        if piece:
-            at.pieces.append(html_lib.unescape(piece) if "&" in piece else piece)
+        path[-1].pieces.append(html_lib.unescape(piece) if "&" in piece else piece)
+
+    def close(depth: int) -> None:
+        for node in path[depth:]:
+            depths[node.tag].pop()
+        del path[depth:]
 
     end = 0
     for m in _TOKEN.finditer(page):
@@ -90,26 +103,25 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             continue
         tag = tag.lower()
         if m.group(2):
-            seek = at
-            while seek is not root and seek.tag != tag:
-                seek = seek.parent
-            if seek is not root:
-                at = seek.parent
+            if depths[tag]:
+                close(depths[tag][-1])
             continue
         closing = _CLOSES.get(tag) or (_P if tag in _BLOCK and tag != "br" else None)
         if closing:
             gone, barrier = closing
-            seek = at
-            while seek is not root and seek.tag not in barrier:
-                if seek.tag in gone:
-                    at = seek.parent
-                seek = seek.parent
+            if any(depths[t] for t in gone):
+                least = max((depths[t][-1] for t in barrier if depths[t]), default=0)
+                found = [depths[t][k] for t in gone if (k := bisect_right(depths[t], least)) < len(depths[t])]
+                if found:
+                    close(min(found))
+        at = path[-1]
         node = Node(tag, at)
         at.children.append(node)
         at.pieces.append(node)
         nodes.append(node)
         if tag not in _VOID and not m.group(0).endswith("/>"):
-            at = node
+            depths[tag].append(len(path))
+            path.append(node)
     if end < len(page):
         text(page[end:])
     return root, nodes

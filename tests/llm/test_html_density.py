@@ -1,5 +1,11 @@
+import math
+import random
+import re
+import time
 from html.parser import HTMLParser
 
+import pytest
+
 from gramforge.llm import html_density as op
 
 
@@ -77,3 +83,167 @@ def test_rows_nulls_repeats_and_clashes(spark):
     by = dict(got)
     assert by[2] is None and by[3] == "" and by[None] == "" and by[1].startswith("The long body") and by[4].count("x") == 200_000
     assert op.extract_pages(df.limit(0)).count() == 0
+
+
+class _Tree(HTMLParser):
+    """A well-formed page as nested lists: [tag, children...], texts as strings."""
+
+    def __init__(self):
+        super().__init__()
+        self.root = ["#root"]
+        self.stack = [self.root]
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag]
+        self.stack[-1].append(node)
+        self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.stack[-1].append(data)
+
+
+def brute_content(page):
+    """Words of the content by the definition, recursively, with another parser."""
+    tree = _Tree()
+    tree.feed(page)
+
+    def find(node):
+        return node if node[0] == "body" else next((f for c in node[1:] if isinstance(c, list) and (f := find(c))), None)
+
+    body = find(tree.root) or tree.root
+
+    def count(node, linked):
+        linked = linked or node[0] == "a"
+        c = t = lc = lt = 0
+        for x in node[1:]:
+            if isinstance(x, str):
+                c, lc = c + len(x.strip()), lc + len(x.strip()) * linked
+            else:
+                c2, t2, lc2, lt2 = count(x, linked)
+                c, t, lc, lt = c + c2, t + t2 + 1, lc + lc2, lt + lt2 + (x[0] == "a")
+        return c, t, lc, lt
+
+    def inside_link(node):  # counted as links themselves: their own tag and those below
+        c, t, lc, lt = count(node, False)
+        return (c, t, c, t + 1) if node[0] == "a" else (c, t, lc, lt)
+
+    cb, _, lcb, _ = inside_link(body)
+    if not cb:
+        return []
+
+    def density(node):
+        c, t, lc, lt = inside_link_total(node)
+        if not c:
+            return 0.0
+        t, base = max(t, 1), math.log(c / max(c - lc, 1) * lc + lcb / cb * c + math.e)
+        return c / t * (math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0)) / max(math.log(base), 1e-3))
+
+    def inside_link_total(node):
+        c = t = lc = lt = 0
+        for x in node[1:]:
+            if isinstance(x, str):
+                c += len(x.strip())
+            else:
+                c2, t2, lc2, lt2 = inside_link_total(x)
+                c, t, lc, lt = c + c2, t + t2 + 1, lc + lc2, lt + lt2
+        return (c, t, c, t + 1) if node[0] == "a" else (c, t, lc, lt)
+
+    def children(node):
+        return [x for x in node[1:] if isinstance(x, list)]
+
+    def total(node):
+        return sum(map(density, children(node))) if children(node) else density(node)
+
+    def below(node):
+        yield node
+        for x in children(node):
+            yield from below(x)
+
+    def greatest(node):
+        every = list(below(node))
+        sums = [total(x) for x in every]
+        return every[sums.index(max(sums))]
+
+    def path(node, to):
+        return [node] if node is to else next(([node, *p] for x in children(node) if (p := path(x, to))), None)
+
+    threshold = min(map(density, path(body, greatest(body))))
+    chosen = []
+
+    def walk(node):
+        if density(node) >= threshold and count(node, False)[0]:
+            chosen.append(greatest(node))
+            for x in children(node):
+                walk(x)
+
+    walk(body)
+
+    def words(node, on):
+        on = on or any(node is x for x in chosen)
+        for x in node[1:]:
+            if isinstance(x, list):
+                yield from words(x, on)
+            elif on:
+                yield from x.split()
+
+    return list(words(body, False))
+
+
+def random_page(r):
+    def block(depth):
+        kind = r.choice(["div", "span", "a", "b", "section"])
+        inner = "".join(r.choice([block, text])(depth + 1) if depth < 5 else text(depth) for _ in range(r.randint(0, 4)))
+        return f"<{kind}>{inner} </{kind}>"
+
+    def text(depth):
+        return " " + " ".join("w" * r.randint(1, 9) + str(r.randrange(99)) for _ in range(r.choice([0, 1, 3, 40]))) + " "
+
+    return "<html><body>" + "".join(block(0) for _ in range(r.randint(1, 6))) + "</body></html>"
+
+
+def test_content_against_the_definition():
+    r = random.Random(12)
+    some = 0
+    for _ in range(300):
+        page = random_page(r)
+        expected = brute_content(page)
+        assert op.extract_content(page).split() == expected, page
+        some += 0 < len(expected) < len(re.sub("<[^>]*>", " ", page).split())
+    assert some > 50
+
+
+@pytest.mark.parametrize(
+    "shape",
+    [
+        lambda n: "<b>" * n + "</i>" * n,
+        lambda n: "<b>" * n + "<li>" * n,
+        lambda n: "<ul><li><ul>" + "<b>" * n + "<li>x" * n,
+        lambda n: "<a " * n + '"',
+        lambda n: "<a '" * n,
+        lambda n: "<script " * n,
+        lambda n: "<script></script" + "</script " * n,
+        lambda n: "<!-- " * n,
+        lambda n: "<" * n,
+        lambda n: "<p>" * n + "<td>" * n,
+        lambda n: "<! " * n,
+        lambda n: "<a-" + "-" * n,
+    ],
+)
+def test_time_is_linear(shape):
+    began = time.process_time()
+    assert op.extract_content("<p>text before</p>" + shape(200_000)) is not None
+    assert time.process_time() - began < 20
+
+
+def test_repairs():
+    def tags(page):
+        _, nodes = op.parse(page)
+        return [(n.tag, n.parent.tag) for n in nodes[1:]]
+
+    assert tags("<ul><li>a<li>b<ul><li>c</ul></ul>") == [("ul", "#root"), ("li", "ul"), ("li", "ul"), ("ul", "li"), ("li", "ul")]
+    assert tags("<table><tr><td>a<td>b<tr><td>c") == [("table", "#root"), ("tr", "table"), ("td", "tr"), ("td", "tr"), ("tr", "table"), ("td", "tr")]
+    assert tags("<p>a<b>b<p>c</i></p><br><i>d") == [("p", "#root"), ("b", "p"), ("p", "#root"), ("br", "#root"), ("i", "#root")]
+    assert op.extract_content("<p>one</p><a title=\"unclosed>two</a> three") == "one\ntwo three"
