@@ -1,7 +1,8 @@
 """Packing documents into training windows by Karmarkar-Karp differencing.
 
 Documents (in tokens) are dealt into shards of about ``SHARD_TOKENS`` tokens by
-hash of the id; within a shard, multiway differencing keeps a heap of partial
+hash of id and length, rows alike in both one after another to different shards;
+within a shard, multiway differencing keeps a heap of partial
 partitions by imbalance (greatest minus least sum), repeatedly takes the two
 most imbalanced and merges them with opposing order, largest sum onto smallest,
 until one partition remains. The number of windows starts at
@@ -16,10 +17,11 @@ corpus's, so neither does the cost of a token.
 Defined results
 ---------------
 * null, empty or token-less text: no piece, no window.
-* null id: packed like any other; the id stays null.
+* null id: packed like any other; the id stays null. Ids keep type and value.
 * ties and repeated rows: each row is packed by itself.
 * an id that occurs in several rows: pieces of each; begin counts per row.
-* extra columns: ignored.   empty table: empty result.
+* very long texts: as many full windows as they fill, and a remainder.
+* extra columns, whatever their names: ignored.   empty table: empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import named
+from .common import cut, named
 
 #: Tokens of a window, and of a shard that is balanced as a whole.
 CAPACITY = 2048
@@ -121,32 +126,37 @@ def pack_windows(
     sized = docs.select(
         named(docs, id_col).alias("_gf_id"), F.regexp_count(named(docs, text_col), F.lit(r"\S+")).cast("bigint").alias("_gf_n")
     ).filter("_gf_n > 0")
-    total = sized.agg(F.sum("_gf_n").alias("t")).first()["t"] or 0
+    # Rows alike in id and length are interchangeable: they are counted, and each
+    # shard gets its part of the count, so that no shard gets all of them.
+    alike = cut(sized.groupBy("_gf_id", "_gf_n").agg(F.count(F.lit(1)).alias("_gf_rows")))
+    total = alike.agg(F.sum((F.col("_gf_n") * F.col("_gf_rows")).cast("decimal(38,0)")).alias("t")).first()["t"] or 0
     shards = max(1, -(-int(total) // shard_tokens))
-    sized = sized.withColumn("_gf_shard", F.pmod(F.xxhash64("_gf_id", "_gf_n"), F.lit(shards)))
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_gf_n", "_gf_id"], ascending=[False, True], kind="stable", na_position="last").reset_index(drop=True)
-        n = pdf["_gf_n"].to_numpy(np.int64)
+    parts = F.least(F.col("_gf_rows"), F.lit(shards))
+    dealt = alike.withColumn("_gf_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).select(
+        "_gf_id",
+        "_gf_n",
+        F.expr(f"_gf_rows div least(_gf_rows, {shards}L) + int(_gf_part < _gf_rows % least(_gf_rows, {shards}L))").alias("_gf_rows"),
+        F.pmod(F.pmod(F.xxhash64("_gf_id", "_gf_n"), F.lit(shards)) + F.col("_gf_part"), F.lit(shards)).alias("_gf_shard"),
+    )
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[("_gf_n", "descending"), ("_gf_id", "ascending")]))
+        of = np.repeat(np.arange(table.num_rows), table.column("_gf_rows").to_numpy())
+        n = table.column("_gf_n").to_numpy()[of]
         full, rest = n // capacity, n % capacity
         some = np.flatnonzero(rest)
         window = pack(rest[some], capacity)
         base = int(window.max()) + 1 if len(window) else 0
         row = np.repeat(np.arange(len(n)), full)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(full) - full, full)
-        ids = pdf["_gf_id"]
-        return pd.DataFrame(
-            {
-                id_col: pd.concat([ids.iloc[row], ids.iloc[some]], ignore_index=True),
-                "begin": np.r_[nth * capacity, (full * capacity)[some]],
-                "tokens": np.r_[np.full(len(row), capacity), rest[some]],
-                "shard": int(pdf["_gf_shard"].iloc[0]) if len(pdf) else 0,
-                "window": np.r_[base + np.arange(len(row)), window],
-            }
-        )
-
-    kind = dict(sized.dtypes)["_gf_id"]
-    return sized.groupBy("_gf_shard").applyInPandas(work, f"`{id_col}` {kind}, begin bigint, tokens bigint, shard bigint, window bigint")
+        shard = table.column("_gf_shard")[0].as_py()
+        columns = [np.r_[nth * capacity, (full * capacity)[some]], np.r_[np.full(len(row), capacity), rest[some]]]
+        columns += [np.full(len(row) + len(some), shard), np.r_[base + np.arange(len(row)), window]]
+        ids = table.column("_gf_id").take(pa.array(np.r_[of[row], of[some]]))
+        return pa.table([ids, *(pa.array(c, pa.int64()) for c in columns)], names=["_gf_id", "begin", "tokens", "shard", "window"])
+
+    schema = StructType([alike.schema["_gf_id"], *(StructField(c, LongType()) for c in ("begin", "tokens", "shard", "window"))])
+    return dealt.groupBy("_gf_shard").applyInArrow(work, schema).withColumnRenamed("_gf_id", id_col)
 
 
 def brute_force(sizes: list[int], k: int) -> list[int]:

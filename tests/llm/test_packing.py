@@ -57,3 +57,23 @@ def test_result_does_not_depend_on_row_order(docs, words):
 def test_empty(docs):
     assert op.pack_windows(docs([])).count() == 0
     assert op.pack_windows(docs([(1, None), (2, "")])).count() == 0
+
+
+def test_large_ids_next_to_null_ids(docs, words):
+    big = 9007199254740993
+    got = {r["doc_id"] for r in op.pack_windows(docs([(big, words(1, 20)), (None, words(2, 20)), (7, words(3, 20))])).collect()}
+    assert got == {big, None, 7}
+
+
+def test_string_ids(spark, words):
+    df = spark.createDataFrame([("b", words(1, 20)), (None, words(2, 20)), ("a", words(3, 20))], "doc_id string, text string")
+    assert {r["doc_id"] for r in op.pack_windows(df).collect()} == {"a", "b", None}
+
+
+def test_rows_alike_are_spread_over_shards(docs, words):
+    text = words(1, 100)
+    got = op.pack_windows(docs([(None, text)] * 500 + [(1, text)] * 7), capacity=400, shard_tokens=5000).toPandas()
+    assert len(got) == 507 and got["tokens"].sum() == 50_700
+    per_shard = got.groupby("shard")["tokens"].sum()
+    assert len(per_shard) == -(-50_700 // 5000) and per_shard.max() - per_shard.min() <= 400
+    assert all(n <= 400 for _, n in op.windows_of(got))
