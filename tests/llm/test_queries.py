@@ -53,7 +53,7 @@ def test_mixing(spark, tables):
     d, rows, _, _ = tables
     docs = spark.read.parquet(f"{d}/documents.parquet")
     rates = [tuple(r) for r in mixing.rates(docs, None, "source", "text").collect()]
-    hashes = dict(docs.select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id")).collect())
+    hashes = dict(docs.select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id", "text")).collect())
     keyed = [(i, "n" if s is None else "s" + s) for i, _, s in rows]
     got = {r["doc_id"]: r["copies"] for r in queries.op3_mixing(spark, d).collect()}
     assert got == mixing.brute_force(keyed, rates, hashes.__getitem__)
