@@ -6,7 +6,7 @@ that contain it over the number of the host's pages; lines whose ratio exceeds
 are dropped from its pages.
 
 Lines of an HTML page are its texts between block-level tags and line breaks,
-other tags removed, white space trimmed, empty lines left out.
+other tags removed, white space (``SPACES``) trimmed, empty lines left out.
 
 Only 128-bit hashes of lines are shuffled for counting; the lines above the
 ratio are few (no host can have more than lines-per-page / ratio of them) and
@@ -19,7 +19,10 @@ Defined results
   with an empty text.
 * a line repeated within a page counts once for the page; all its occurrences
   are dropped or kept together.  ties: a ratio equal to RATIO is kept.
-* repeated rows: each row is a page.  extra columns: ignored.  empty table: empty.
+* a host of a single page: its lines repeat nowhere, all are kept.
+* very long pages: processed whole.   page ids of any type, nulls too.
+* repeated rows: each row is a page.  extra columns, whatever their names:
+  ignored.  empty table: empty.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import broadcast_upto, cut, named, table_stats
 
 RATIO = 0.5
-MIN_PAGES = 4
+MIN_PAGES = 2
+#: Trimmed from both ends of a line.
+SPACES = " \t\v\f\u00a0"
 #: Hosts and boilerplate lines up to these numbers are broadcast, so that a host
 #: of many pages stays spread; more are shuffled, skewed hosts being split.
 BROADCAST_HOSTS = 1_000_000
@@ -49,7 +54,7 @@ def page_lines(html: Column) -> Column:
     """Array of the trimmed, non-empty lines of a page, in order."""
     broken = F.regexp_replace(F.regexp_replace(html, _HIDDEN, ""), _BREAK, "\n")
     plain = F.regexp_replace(broken, _TAG, "")
-    return F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(plain, "\n"), lambda x: F.btrim(x, F.lit(SPACES))), lambda x: x != "")
 
 
 def drop_boilerplate(
@@ -62,7 +67,7 @@ def drop_boilerplate(
         host(named(pages, url_col)).alias("_gf_host"),
         F.coalesce(page_lines(named(pages, html_col)), F.array().cast("array<string>")).alias("_gf_lines"),
     )
-    digest = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"))
+    digest = lambda x: F.struct(F.xxhash64(F.lit(0), x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))
     totals = lined.groupBy("_gf_host").agg(F.count(F.lit(1)).alias("_gf_pages"))
     seen = (
         lined.select("_gf_host", F.explode(F.array_distinct("_gf_lines")).alias("_gf_line"))
@@ -102,7 +107,7 @@ WITH raw AS (
   FROM pages
 ), lined AS (
   SELECT rid, page_id, host,
-         coalesce(list_filter(list_transform(string_split(plain, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), []) AS lines
+         coalesce(list_filter(list_transform(string_split(plain, chr(10)), lambda x: trim(x, {" || ".join(f"chr({ord(c)})" for c in SPACES)})), lambda x: x <> ''), []) AS lines
   FROM raw
 ), totals AS (SELECT host, count(*) AS pages FROM lined GROUP BY host),
 seen AS (

@@ -14,7 +14,7 @@ def brute(rows):
         m = re.match(op._HOST, url or "")
         h = (m.group(1) if m else "").lower()
         plain = re.sub(op._TAG, "", re.sub(op._BREAK, "\n", re.sub(op._HIDDEN, "", html or "")))
-        own = [x.strip(" ") for x in plain.split("\n") if x.strip(" ")]
+        own = [x.strip(op.SPACES) for x in plain.split("\n") if x.strip(op.SPACES)]
         pages[h] += 1
         for x in set(own):
             seen[h][x] += 1
@@ -50,6 +50,8 @@ def test_against_brute_force(spark, words, monkeypatch, most):
 
 
 def test_ties_small_hosts_and_repeats_within_a_page(spark):
+    both = [(i, "http://two.pages/x", page("foot\t", f"own {i}") if i else page("\u00a0 foot", "other")) for i in range(2)]
+    assert [r[3] for r in run(spark, both)] == [1, 1]
     half = [(i, "http://a.b/x", page("same" if i < 2 else f"own {i}")) for i in range(4)]
     assert all(r[3] == 0 for r in run(spark, half))  # exactly RATIO is kept
     more = [(i, "http://a.b/x", page("same", "same") if i < 3 else page("x")) for i in range(4)]
