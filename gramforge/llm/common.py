@@ -115,3 +115,49 @@ def without(df: DataFrame, id_col: str, gone: DataFrame, rows: int) -> DataFrame
     ids = broadcast_upto(cut(gone.toDF("_gf_gone")), rows)
     at = df.columns.index(id_col)
     return plain.join(ids, F.col(f"_gf_c{at}") == F.col("_gf_gone"), "left_anti").toDF(*df.columns)
+
+
+def split_crowded(cells: DataFrame, sizes: DataFrame, block: int, rows: int, *by: str) -> DataFrame:
+    """``cells`` (with _gf_key) for tasks of at most two blocks of a cell.
+
+    A cell of more than ``block`` members by ``sizes`` (_gf_key, _gf_size) is split
+    into blocks by hash of ``by``, and blocks i <= j meet in a task of their own, so
+    that every pair of the cell meets once. _gf_key becomes the task's key; _gf_side
+    is 2 where all pairs of a task count, else 0 and 1 for the two blocks, of which
+    only pairs across count. ``sizes`` of up to ``rows`` cells are broadcast.
+    """
+    crowded = cut(sizes.filter(F.col("_gf_size") > block))
+    if not row_count(crowded):
+        return cells.withColumn("_gf_side", F.lit(2))
+    placed = cells.join(broadcast_upto(crowded, rows), "_gf_key", "left")
+    placed = placed.withColumn("_gf_blocks", F.coalesce(F.ceil(F.col("_gf_size") / block), F.lit(1)).cast("int"))
+    placed = placed.withColumn("_gf_block", F.pmod(F.xxhash64(*by), "_gf_blocks").cast("int"))
+    placed = placed.withColumn("_gf_other", F.explode(F.sequence(F.lit(0), F.col("_gf_blocks") - 1)))
+    low, high = F.least("_gf_block", "_gf_other"), F.greatest("_gf_block", "_gf_other")
+    side = F.when(low == high, 2).when(F.col("_gf_block") == low, 0).otherwise(1)
+    task = F.when(F.col("_gf_blocks") > 1, F.xxhash64("_gf_key", low, high)).otherwise(F.col("_gf_key"))
+    return placed.withColumn("_gf_side", side).withColumn("_gf_key", task).select(*cells.columns, "_gf_side")
+
+
+def whole_tasks(batches: Iterator[pa.RecordBatch], buffer: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, in tables of about ``buffer`` rows or one
+    task, of which none cuts a task in two."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < buffer:
+            continue
+        whole = pa.Table.from_batches(held)
+        key = whole.column(0).to_numpy()
+        # The last task may go on in the next batch.
+        done = int(key.searchsorted(key[-1], side="left"))
+        if done:
+            yield whole.slice(0, done)
+            held = whole.slice(done).combine_chunks().to_batches()
+            size = whole.num_rows - done
+    if size:
+        yield pa.Table.from_batches(held)

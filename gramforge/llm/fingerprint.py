@@ -7,18 +7,21 @@ the length: 33 bytes, 66 hexadecimal digits. Similar documents have similar
 digests; the difference score adds up quartile steps (3 apart counts 6) and
 ``LENGTH_STEP`` for each step of length, and never exceeds ``MAX_SCORE``.
 
-The query digests every document and scores documents against each other:
-every pair within ``NEAR`` is a row of its own. Equal digests are one node and
-always pair. Of distinct digests, those that agree in ``BAND_BITS`` fixed
+The query digests every document and scores documents against each other.
+Documents with one digest are a class, represented by its least id; every other
+member pairs with the representative (score 0), and every pair of representatives
+within ``NEAR`` is a row of its own. Of distinct digests, those that agree in ``BAND_BITS`` fixed
 positions of the 128 bits "count above the median" share a cell, of ``TABLES``
 such choices of positions; all pairs of a cell are scored, and a pair is
 reported by the first cell it shares. Pairs that share no cell are missed: a
 pair that differs in h of the 128 bits is found with probability
-1-(1-(1-h/128)^BAND_BITS)^TABLES. Cells have no size limit.
+about 1-(1-(1-h/128)^BAND_BITS)^TABLES. A cell of more than ``BLOCK`` members is
+split into blocks that meet two by two in different tasks: all its pairs are scored.
 
 As an extra, every document is scored against every benchmark item, reporting
 the nearest (least id on ties) and its score. For that nothing is shuffled:
-references go to the documents, ``PASS_REFERENCES`` of them at a time.
+references are digested where they lie, and their digests go to the documents,
+``PASS_REFERENCES`` of them at a time.
 
 Defined results
 ---------------
@@ -29,7 +32,10 @@ Defined results
   counted whole.
 * pairs: null ids and null texts take no part, nor does an id pair with itself;
   an id on several texts pairs by each of them.
-* no benchmark items: null nearest and score.  extra columns: ignored.
+* ids of any type that has an order; they come back as they are.
+* benchmark items without an id or a text take no part; with none left, nearest
+  and score are null.
+* empty table: empty result.  extra columns, whatever their names: ignored.
 """
 
 from __future__ import annotations
@@ -38,10 +44,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import cut, named, slices
+from .common import broadcast_upto, cut, named, slices, split_crowded, whole_tasks
 
 BUCKETS = 128
 LENGTH_STEP = 2
@@ -58,6 +66,12 @@ TABLES = 20
 EMIT = 100_000
 #: Cells up to this size compare their pairs together with other cells'.
 SMALL_CELL = 256
+#: Members of a block of a crowded cell, and rows of cells that are held at once.
+BLOCK = 16_384
+BUFFER = 1 << 17
+#: Crowded cells, and digests of several documents, up to these numbers are broadcast.
+BROADCAST_CELLS = 500_000
+BROADCAST_DIGESTS = 400_000
 _COST = np.array([[0, 1, 2, 6], [1, 0, 1, 2], [2, 1, 0, 1], [6, 2, 1, 0]], dtype=np.float32)
 
 
@@ -134,70 +148,71 @@ def scores(q: np.ndarray, length: np.ndarray, rq: np.ndarray, rlength: np.ndarra
     return np.minimum(MAX_SCORE, body.astype(np.int64) + LENGTH_STEP * gap)
 
 
-def nearest(q: np.ndarray, length: np.ndarray, refs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(least score, its least reference id) of each digest; refs: ids in rising
-    order, quartiles, length codes."""
-    rid, rq, rlength = refs
+def nearest(q: np.ndarray, length: np.ndarray, rq: np.ndarray, rlength: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least score, the first reference that has it) of each digest."""
     best, near = np.full(len(q), MAX_SCORE + 1, dtype=np.int64), np.zeros(len(q), dtype=np.int64)
     step = max(1, CELLS // max(1, len(q)))
-    for at in range(0, len(rid), step):
+    for at in range(0, len(rq), step):
         s = scores(q, length, rq[at : at + step], rlength[at : at + step])
         k = s.argmin(axis=1)
         low = s[np.arange(len(s)), k]
-        near = np.where(low < best, rid[at + k], near)
+        near = np.where(low < best, at + k, near)
         best = np.minimum(low, best)
     return best, near
 
 
-def _references(items: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of about ``PASS_REFERENCES`` references, digested."""
-    items = items.filter("i IS NOT NULL AND t IS NOT NULL")
-    n = items.count()
-    blocks = -(-n // PASS_REFERENCES)
-    for k in range(blocks):
-        rows = sorted((r["i"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect())
-        yield np.array([i for i, _ in rows], dtype=np.int64), *digests([t for _, t in rows])
+_COLUMNS = ["_gf_id", "_gf_digest", "_gf_near", "_gf_score"]
 
 
-_COLUMNS = ["_gf_id", "_gf_digest", "_gf_near", "_gf_score"]
+def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            texts = part.column(1).to_pylist()
+            missing = np.array([t is None for t in texts], dtype=bool)
+            digest = pa.array(to_hex(*digests([t or "" for t in texts])), pa.string(), mask=missing)
+            yield pa.RecordBatch.from_arrays([part.column(0), digest], names=_COLUMNS[:2])
+
+
+def _digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_gf_id, _gf_digest) of every row."""
+    rows = docs.select(named(docs, id_col).alias("_gf_id"), named(docs, text_col).alias("_gf_text"))
+    return rows.mapInArrow(_digest_rows, StructType([rows.schema["_gf_id"], StructField("_gf_digest", StringType())]))
+
+
+def _references(items: DataFrame) -> Iterator[tuple[list, list[str]]]:
+    """Blocks of about ``PASS_REFERENCES`` references: ids in rising order, digests."""
+    items = cut(items.filter("_gf_id IS NOT NULL AND _gf_digest IS NOT NULL"))
+    blocks = -(-items.count() // PASS_REFERENCES)
+    for k in range(blocks):
+        rows = sorted(map(tuple, items.filter(F.pmod(F.xxhash64("_gf_id", "_gf_digest"), F.lit(blocks)) == k).collect()))
+        if rows:
+            yield [i for i, _ in rows], [d for _, d in rows]
 
 
 def fingerprint_documents(
     docs: DataFrame, references: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", ref_id: str = "item_id", ref_text: str = "text"
 ) -> DataFrame:
     """(id_col, digest, nearest_<ref_id>, score) of every input row."""
-    schema = "_gf_id bigint, _gf_digest string, _gf_near bigint, _gf_score bigint"
-
-    def digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                texts = part.column(1).to_pylist()
-                missing = np.array([t is None for t in texts], dtype=bool)
-                digest = pa.array(to_hex(*digests([t or "" for t in texts])), pa.string(), mask=missing)
-                none = pa.nulls(len(texts), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), digest, none, none], names=_COLUMNS)
-
-    def improve(refs: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    kind = LongType() if references is None else references.schema[ref_id].dataType
+    out = _digested(docs, id_col, text_col).withColumn("_gf_near", F.lit(None).cast(kind)).withColumn("_gf_score", F.lit(None).cast("bigint"))
+
+    def improve(ids: list, known: list[str]):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rq, rlength = from_hexes(known)
             for part in batches:
-                known = part.column(1).to_pylist()
-                missing = np.array([d is None for d in known], dtype=bool)
-                q, length = from_hexes([d or "00" * (1 + BUCKETS // 4) for d in known])
-                best, near = nearest(q, length, refs)
-                old, at = (part.column(c).to_pylist() for c in (3, 2))
-                keep = np.array([s is not None and (s, i) <= (b, n) for s, i, b, n in zip(old, at, best.tolist(), near.tolist(), strict=True)], dtype=bool)
-                near = np.where(keep, np.array([i or 0 for i in at], dtype=np.int64), near)
-                best = np.where(keep, np.array([s or 0 for s in old], dtype=np.int64), best)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(near, mask=missing), pa.array(best, mask=missing)], names=_COLUMNS)
+                own = part.column(1).to_pylist()
+                best, at = nearest(*from_hexes([d or "00" * (1 + BUCKETS // 4) for d in own]), rq, rlength)
+                found = zip(own, part.column(3).to_pylist(), part.column(2).to_pylist(), best.tolist(), at.tolist(), strict=True)
+                least = [(None, None) if d is None else (b, ids[n]) if s is None else min((s, i), (b, ids[n])) for d, s, i, b, n in found]
+                near = pa.array([i for _, i in least], part.schema.field(2).type)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), near, pa.array([s for s, _ in least], pa.int64())], names=_COLUMNS)
 
         return work
 
-    out = docs.select(named(docs, id_col).cast("bigint").alias("_gf_id"), named(docs, text_col).alias("_gf_text")).mapInArrow(digest_rows, schema)
     if references is not None:
-        for refs in _references(references.select(named(references, ref_id).cast("bigint").alias("i"), named(references, ref_text).alias("t"))):
-            if len(refs[0]):
-                out = out.mapInArrow(improve(refs), schema)
-    return out.select(F.col("_gf_id").alias(id_col), F.col("_gf_digest").alias("digest"), F.col("_gf_near").alias(f"nearest_{ref_id}"), F.col("_gf_score").alias("score"))
+        for ids, known in _references(_digested(references, ref_id, ref_text)):
+            out = out.mapInArrow(improve(ids, known), out.schema)
+    return out.toDF(id_col, "digest", f"nearest_{ref_id}", "score")
 
 
 def _bits(q: np.ndarray) -> np.ndarray:
@@ -268,7 +283,11 @@ def _first_shared(bits: np.ndarray, a: np.ndarray, b: np.ndarray, table: np.ndar
     return first
 
 
-_NODE = "_gf_key bigint, _gf_digest string, _gf_near bigint, _gf_score bigint, _gf_ids array<bigint>"
+def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in batches:
+        if part.num_rows:
+            key, n = np.unique(cell_keys(from_hexes(part.column(0).to_pylist())[0]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["_gf_key", "_gf_size"])
 
 
 def _to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,62 +295,46 @@ def _to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if part.num_rows:
             keys = cell_keys(from_hexes(part.column(0).to_pylist())[0])
             for t in range(TABLES):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, t]), *part.columns], names=["_gf_key", *part.schema.names])
+                table = pa.array(np.full(part.num_rows, t, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, t]), table, *part.columns], names=["_gf_key", "_gf_table", *part.schema.names])
 
 
 def _pair_batches(near: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
-        whole = pa.Table.from_batches(tables).combine_chunks()
-        key = whole.column(0).to_numpy()
-        order = np.argsort(key, kind="stable")
-        key = key[order]
+    """From rows (key, table, side, digest, id, nearest item, its score) sorted by
+    key: the pairs of nodes of a task, with the lesser id's row first."""
+
+    def found(key: np.ndarray, bits: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        ends = np.r_[starts[1:], len(key)]
-        ids = whole.column(4).combine_chunks()
-        flat = ids.flatten().to_numpy()
-        size = ids.value_lengths().to_numpy().astype(np.int64)
-        first = np.cumsum(size) - size
-
-        def emit(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """Pairs of ids of pairs of nodes, by rows of ``whole``."""
-            until = np.cumsum(size[a] * size[b])
-            for begin in range(0, int(until[-1]) if len(until) else 0, EMIT):
-                at = np.arange(begin, min(begin + EMIT, until[-1]))
-                pair = np.searchsorted(until, at, side="right")
-                at -= until[pair] - size[a[pair]] * size[b[pair]]
-                na, nb = a[pair], b[pair]
-                x, y = flat[first[na] + at // size[nb]], flat[first[nb] + at % size[nb]]
-                keep = np.where(na == nb, x < y, x != y)
-                x, y, na, nb, pair = (v[keep] for v in (x, y, na, nb, pair))
-                own = whole.select([1, 2, 3]).take(pa.array(np.where(x < y, na, nb)))
-                columns = [pa.array(np.minimum(x, y)), *(c.combine_chunks() for c in own.columns), pa.array(np.maximum(x, y)), pa.array(score[pair])]
-                yield pa.RecordBatch.from_arrays(columns, names=[*_COLUMNS, "_gf_other", "_gf_difference"])
-
-        same = np.flatnonzero((whole.column(0).to_numpy() & 255 == 0) & (size > 1))
-        yield from emit(same, same, np.zeros(len(same), dtype=np.int64))
-        sizes = ends - starts
-        inner = np.repeat(sizes > 1, sizes)
-        order, key, large = order[inner], key[inner], np.repeat(sizes > SMALL_CELL, sizes)[inner]
-        if not len(order):
-            return
-        q, length = from_hexes(whole.column(1).take(pa.array(order)).to_pylist())
-        bits = _bits(q)
-
-        def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-            small = np.flatnonzero(~large)
-            for a, b, score in _small_cell_pairs(key[small], bits[small], length[small], near):
-                yield small[a], small[b], score
-            at = np.flatnonzero(large)
-            for own in np.split(at, np.flatnonzero(np.diff(key[at])) + 1) if len(at) else []:
-                for a, b, score in _cell_pairs(bits[own], length[own], near):
-                    yield own[a], own[b], score
-
-        for a, b, score in found():
-            new = _first_shared(bits, a, b, key[a] & 255)
-            yield from emit(order[a[new]], order[b[new]], score[new])
+        sizes = np.diff(np.r_[starts, len(key)])
+        small = np.flatnonzero(np.repeat(sizes <= SMALL_CELL, sizes))
+        for a, b, score in _small_cell_pairs(key[small], bits[small], length[small], near):
+            yield small[a], small[b], score
+        for s, n in zip(starts[sizes > SMALL_CELL].tolist(), sizes[sizes > SMALL_CELL].tolist(), strict=True):
+            for a, b, score in _cell_pairs(bits[s : s + n], length[s : s + n], near):
+                yield s + a, s + b, score
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_tasks(batches, BUFFER):
+            key = whole.column(0).to_numpy()
+            same = key[1:] == key[:-1]
+            whole = whole.take(pa.array(np.flatnonzero(np.r_[False, same] | np.r_[same, False]))).combine_chunks()
+            if not whole.num_rows:
+                continue
+            key, table, side = (whole.column(c).to_numpy() for c in (0, 1, 2))
+            q, length = from_hexes(whole.column(3).to_pylist())
+            bits, ids = _bits(q), whole.column(4)
+            rank = pc.rank(ids, sort_keys="ascending", tiebreaker="dense").to_numpy()
+            own = whole.select([4, 3, 5, 6])
+            for a, b, score in found(key, bits, length):
+                new = ((side[a] == 2) | (side[a] != side[b])) & (rank[a] != rank[b])
+                new[new] = _first_shared(bits, a[new], b[new], table[a[new]])
+                a, b, score = a[new], b[new], score[new]
+                a, b = np.where(rank[a] < rank[b], a, b), np.where(rank[a] < rank[b], b, a)
+                for begin in range(0, len(a), EMIT):
+                    u, v = a[begin : begin + EMIT], b[begin : begin + EMIT]
+                    first = own.take(pa.array(u)).combine_chunks()
+                    columns = [*(c.combine_chunks() for c in first.columns), ids.take(pa.array(v)).combine_chunks(), pa.array(score[begin : begin + EMIT])]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*_COLUMNS, "_gf_other", "_gf_difference"])
 
     return work
 
@@ -340,21 +343,30 @@ def fingerprint_pairs(
     docs: DataFrame, references: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", ref_id: str = "item_id", ref_text: str = "text", near: int = NEAR
 ) -> DataFrame:
     """``fingerprint_documents``, and near_<id_col>, near_score: null in the row
-    that each input row has, and set in one more row for every pair of ids within
-    ``near``, which stands with the lesser id."""
+    that each input row has; set in one more row for each member of a class but its
+    representative (score 0), and for each pair of representatives within ``near``.
+    A pair stands with the lesser id, which is a representative.
+    """
     prints = cut(fingerprint_documents(docs, references, id_col, text_col, ref_id, ref_text)).toDF(*_COLUMNS)
-    nodes = (
-        prints.filter("_gf_id IS NOT NULL AND _gf_digest IS NOT NULL")
-        .groupBy("_gf_digest")
-        .agg(F.first("_gf_near").alias("_gf_near"), F.first("_gf_score").alias("_gf_score"), F.collect_set("_gf_id").alias("_gf_ids"))
-    )
-    pairs = (
-        nodes.mapInArrow(_to_cells, _NODE)
-        .repartition("_gf_key")
-        .mapInArrow(_pair_batches(near), "_gf_id bigint, _gf_digest string, _gf_near bigint, _gf_score bigint, _gf_other bigint, _gf_difference bigint")
+    kind, item = prints.schema["_gf_id"].dataType, prints.schema["_gf_near"].dataType
+    real = prints.filter("_gf_id IS NOT NULL AND _gf_digest IS NOT NULL")
+    nodes = cut(
+        real.groupBy("_gf_digest").agg(
+            F.min("_gf_id").alias("_gf_id"), F.first("_gf_near").alias("_gf_near"), F.first("_gf_score").alias("_gf_score"), F.count(F.lit(1)).alias("_gf_n")
+        )
     )
-    alone = prints.withColumns({c: F.lit(None).cast("bigint") for c in ("_gf_other", "_gf_difference")})
-    return alone.unionByName(pairs).toDF(id_col, "digest", f"nearest_{ref_id}", "score", f"near_{id_col}", "near_score")
+    several = broadcast_upto(cut(nodes.filter("_gf_n > 1").drop("_gf_n")), BROADCAST_DIGESTS)
+    members = real.select("_gf_digest", F.col("_gf_id").alias("_gf_other")).join(several, "_gf_digest").filter("_gf_other <> _gf_id").distinct()
+    nodes = nodes.select("_gf_digest", "_gf_id", "_gf_near", "_gf_score")
+    sizes = nodes.select("_gf_digest").mapInArrow(_count_cells, "_gf_key bigint, _gf_size bigint").groupBy("_gf_key").agg(F.sum("_gf_size").alias("_gf_size"))
+    schema = StructType([StructField("_gf_key", LongType()), StructField("_gf_table", LongType()), *nodes.schema.fields])
+    cells = split_crowded(nodes.mapInArrow(_to_cells, schema), sizes, BLOCK, BROADCAST_CELLS, "_gf_digest")
+    cells = cells.select("_gf_key", "_gf_table", "_gf_side", *nodes.columns).repartition("_gf_key").sortWithinPartitions("_gf_key")
+    row = [StructField("_gf_id", kind), StructField("_gf_digest", StringType()), StructField("_gf_near", item), StructField("_gf_score", LongType())]
+    pairs = cells.mapInArrow(_pair_batches(near), StructType([*row, StructField("_gf_other", kind), StructField("_gf_difference", LongType())]))
+    alone = prints.withColumn("_gf_other", F.lit(None).cast(kind)).withColumn("_gf_difference", F.lit(None).cast("bigint"))
+    copies = members.select(*_COLUMNS, "_gf_other", F.lit(0).cast("bigint").alias("_gf_difference"))
+    return alone.unionByName(copies).unionByName(pairs).toDF(id_col, "digest", f"nearest_{ref_id}", "score", f"near_{id_col}", "near_score")
 
 
 def brute_force(text: str) -> str:

@@ -67,9 +67,20 @@ def test_no_references_and_empty_table(spark, docs):
     assert op.fingerprint_documents(docs([]), items(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("small", [256, 2])
-def test_pairs_of_documents_against_all_pairs(spark, docs, words, monkeypatch, small):
+def class_pairs(known, near):
+    """Members with the representatives of their classes, and representatives within ``near``."""
+    least = {}
+    for i in sorted(known):
+        least.setdefault(known[i], i)
+    members = {(least[d], i, 0) for i, d in known.items() if least[d] != i}
+    return members | {(i, j, s) for i in least.values() for j in least.values() if i < j and (s := op.difference(known[i], known[j])) <= near}
+
+
+@pytest.mark.parametrize(("small", "block"), [(256, 16_384), (2, 16_384), (256, 3), (2, 3)])
+def test_pairs_of_documents_against_all_pairs(spark, docs, words, monkeypatch, small, block):
     monkeypatch.setattr(op, "SMALL_CELL", small)
+    monkeypatch.setattr(op, "BLOCK", block)
+    monkeypatch.setattr(op, "BUFFER", 50)
     monkeypatch.setattr(op, "EMIT", 7)
     rows = []
     for base in range(12):
@@ -80,7 +91,7 @@ def test_pairs_of_documents_against_all_pairs(spark, docs, words, monkeypatch, s
     got = op.fingerprint_pairs(docs(rows)).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got if r["near_doc_id"] is None) == sorted((i is None, i or 0) for i, _ in rows)
     known = {i: op.brute_force(t) for i, t in rows if i is not None and t is not None}
-    expected = {(i, j, s) for i in known for j in known if i < j and (s := op.difference(known[i], known[j])) <= op.NEAR}
+    expected = class_pairs(known, op.NEAR)
     pairs = [(r["doc_id"], r["near_doc_id"], r["near_score"]) for r in got if r["near_doc_id"] is not None]
     assert len(set(pairs)) == len(pairs) and set(pairs) <= expected
     assert len(pairs) >= 0.9 * len(expected) and {p for p in expected if p[2] == 0} <= set(pairs)
@@ -95,5 +106,18 @@ def test_query_finds_near_copies_among_documents(spark, docs, words, tmp_path):
     docs([(1, base), (2, base.replace(base.split()[7], "changed", 1)), (3, words(2, 400)), (4, base)]).write.parquet(f"{tmp_path}/documents.parquet")
     items(spark, [(9, words(1, 30))]).write.parquet(f"{tmp_path}/benchmark.parquet")
     got = queries.op4_fingerprint(spark, str(tmp_path)).collect()
-    assert {(r["doc_id"], r["near_doc_id"]) for r in got if r["near_doc_id"]} == {(1, 2), (1, 4), (2, 4)}
+    assert {(r["doc_id"], r["near_doc_id"]) for r in got if r["near_doc_id"]} == {(1, 2), (1, 4)}
     assert all(r["nearest_item_id"] == 9 for r in got)
+
+
+def test_ids_of_other_types_and_large_ids(spark, words):
+    base = words(1, 400)
+    near = base.replace(base.split()[7], "changed", 1)
+    df = spark.createDataFrame([("b", base), ("a", near), ("c", base), (None, base)], "key string, body string")
+    refs = spark.createDataFrame([("y", base), ("x", base), (None, base), ("z", None)], "item string, text string")
+    got = op.fingerprint_pairs(df, refs, "key", "body", "item").collect()
+    assert {(r["key"], r["near_key"], r["near_score"] > 0) for r in got if r["near_key"]} == {("b", "c", False), ("a", "b", True)}
+    assert {(r["key"], r["nearest_item"], r["score"]) for r in got if r["key"] == "b"} == {("b", "x", 0)}
+    big = 2**53
+    df = spark.createDataFrame([(big + 1, base), (big + 2, base), (None, base)], "doc_id bigint, text string")
+    assert {(r["doc_id"], r["near_doc_id"]) for r in op.fingerprint_pairs(df).collect()} == {(big + 1, None), (big + 2, None), (None, None), (big + 1, big + 2)}
