@@ -14,6 +14,8 @@ Defined results
 ---------------
 * null text: never a duplicate, always kept.
 * empty texts: equal to each other.
+* very long texts: compared to the last byte, in O(log length) rounds.
+* ids of any type that has an order; they come back as they are.
 * ties and repeated rows: of equal texts the row with the least doc_id stays
   (null ids last); repeated rows with one id collapse to one row.
 * extra columns, whatever their names: carried along untouched.
@@ -24,9 +26,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
-from .common import broadcast_upto, cut, named
+from .common import broadcast_upto, cut, named, safe_names
 
 #: Bytes of the first digit and the factor by which each next digit is longer.
 FIRST_DIGIT = 64
@@ -65,9 +66,7 @@ def _partition(docs: DataFrame, id_col: str, text_col: str, keep_rows: bool) ->
     kept = source.join(shared, "_gf_cell", "left_semi").withColumn("_gf_rid", F.monotonically_increasing_id())
     state = cut(kept.drop("_gf_cell"))
     if keep_rows:
-        struct = state.schema["_gf_row"].dataType
-        safe = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(struct.fields)])
-        text = F.encode(F.col("_gf_row").cast(safe)[f"c{docs.columns.index(text_col)}"], "UTF-8")
+        text = F.encode(F.col("_gf_row")[text_col], "UTF-8")
     else:
         text = F.col("_gf_raw")
 
@@ -126,11 +125,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows without those that repeat an earlier document's text."""
-    shared, state, duplicates = _partition(docs, id_col, text_col, keep_rows=True)
-    cell = _first_cell(F.encode(named(docs, text_col), "UTF-8"))
-    alone = docs.withColumn("_gf_cell", cell).join(shared, "_gf_cell", "left_anti").select(*[named(docs, c) for c in docs.columns])
+    plain, at = safe_names(docs), docs.columns.index(text_col)
+    shared, state, duplicates = _partition(plain, f"_gf_c{docs.columns.index(id_col)}", f"_gf_c{at}", keep_rows=True)
+    cell = _first_cell(F.encode(F.col(f"_gf_c{at}"), "UTF-8"))
+    alone = plain.withColumn("_gf_cell", cell).join(shared, "_gf_cell", "left_anti").select(*plain.columns)
     gone = broadcast_upto(cut(duplicates.select("_gf_rid")), BROADCAST_BYTES // 16)
-    return alone.unionByName(state.join(gone, "_gf_rid", "left_anti").select("_gf_row.*"))
+    return alone.unionByName(state.join(gone, "_gf_rid", "left_anti").select("_gf_row.*")).toDF(*docs.columns)
 
 
 def brute_force(rows: list[tuple]) -> set[tuple]:
