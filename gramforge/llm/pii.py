@@ -16,8 +16,10 @@ Defined results
 * null or empty text: no redaction, no row.
 * documents without redactions: no row from ``find_pii``; ``redact`` keeps
   their rows and texts as they are.
-* repeated rows: each by itself.  very long texts: scanned whole.
-* empty table: empty result.   extra columns: untouched.
+* repeated rows: each by itself.  very long texts and very long runs of one
+  character: scanned whole, in linear time.
+* ids of any type, nulls too: returned as they are.
+* empty table: empty result.   extra columns, whatever their names: untouched.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import map_rows, named, slices
 
@@ -43,7 +46,8 @@ TREES = 60
 DEPTH = 3
 BINS = 32
 
-#: No candidate is without one of these.
+#: No candidate is without one of these: an e-mail address has its sign, a secret
+#: its separator, all others have a digit.
 ANCHOR = re.compile(r"[@\d=:]")
 
 #: Forms of phone numbers; the first that fits at a place is proposed.
@@ -65,7 +69,7 @@ GENERATORS: list[tuple[str, re.Pattern]] = [
     ("SSN", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("IBAN", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("SECRET", re.compile(r"(?i)(?<!\w)(?:[a-z_]*(?:pass(?:word|wd)?|pwd|token|secret|api[_-]?key|key|auth))\s*[=:]\s*[\"']?[^\s\"']{6,}[\"']?")),
-    ("KEY", re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z_-]*\d)[A-Za-z0-9_-]{16,}(?![A-Za-z0-9])")),
+    ("KEY", re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+\d)[A-Za-z0-9_-]{16,}+")),
 ]
 KINDS = [k for k, _ in GENERATORS]
 _KEYWORDS = [
@@ -98,6 +102,20 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     return [(g, m.start(), m.end()) for g, (_, pattern) in enumerate(GENERATORS) for m in pattern.finditer(text)]
 
 
+_SEPARATED = re.compile(r"[=:]\s*")
+
+
+def _value(span: str) -> list[float]:
+    """What stands after a separator: length, whether it is quoted, glued on,
+    assigned, and all lower-case letters."""
+    m = _SEPARATED.search(span)
+    if not m:
+        return [0.0] * 5
+    value = span[m.end() :]
+    bare = value.strip("\"'")
+    return [len(bare), float(value[:1] in "\"'"), float(m.end() - m.start() == 1), float(span[m.start()] == "="), float(bare.isalpha() and bare[1:].islower())]
+
+
 def features(text: str, g: int, start: int, end: int) -> list[float]:
     span = text[start:end]
     digits = re.sub(r"[^0-9]", "", span)
@@ -122,6 +140,7 @@ def features(text: str, g: int, start: int, end: int) -> list[float]:
         float(span.startswith("+")),
         float("(" in span),
         float("=" in span or ":" in span),
+        *_value(span),
         float(len(digits) >= 12 and _luhn(digits)),
         float(len(octets) == 4 and all(int(o) < 256 for o in octets)),
         float(digits[:1] or 0),
@@ -192,6 +211,9 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = 0.3) -
 
 _FILL = "the and of ther tion der und est le les pour que con las para re and with from this were item data value on".split()
 
+#: What prose has after "password:" and the like.
+_PROSE = "required optional protected forgotten changed expired invalid missing reset disabled authentication management recommended differences everything communication unknown".split()
+
 
 def _positive(r: random.Random) -> tuple[str, str]:
     digit = lambda k: "".join(r.choice("0123456789") for _ in range(k))
@@ -234,6 +256,9 @@ def _positive(r: random.Random) -> tuple[str, str]:
     if kind == "SECRET":
         name = r.choice(["password", "token", "secret", "api_key", "auth_token", "pwd", "passwd", "access_key"])
         camel = "".join(letters(r.randint(2, 8)).capitalize() for _ in range(r.randint(3, 4)))
+        plain = letters(r.randint(12, 24))
+        if r.random() < 0.25:
+            return kind, r.choice([f"{name}={plain}", f'{name}="{plain}"', f"{name} = '{plain}'", f"{name}: {letters(r.randint(17, 26))}", f"{name}={letters(r.randint(9, 14))}"])
         worded = r.choice([camel, "".join(r.choice([str.upper, str.lower])(c) for c in letters(r.randint(12, 30)))])
         return kind, r.choice([f"{name}={hexes}", f'{name} = "{hexes}"', f"{name}: {anything}1", f"{name}='{anything}'", f'{name} = "{worded}"', f"{name}: {worded}", f"{name}={worded}"])
     return kind, r.choice(["AKIA" + mixed, "AKIA" + mixed, "sk_live_" + anything + "1", "ghp_" + anything + "4", hexes, "xoxb-" + digit(11) + "-" + anything])
@@ -276,6 +301,8 @@ def _look_alike(r: random.Random) -> str:
             lambda: f"{d(1)}.{d(12)}",
             lambda: f"token: {r.choice(_FILL)}{r.choice(_FILL)}ing",
             lambda: f"key = {r.choice(_FILL)}{r.choice(_FILL)}",
+            lambda: f"{r.choice(['password', 'secret', 'token', 'key', 'auth', 'api key', 'Password', 'Key'])}: {r.choice([str.lower, str.capitalize])(r.choice(_PROSE))}",
+            lambda: f"{r.choice(['password', 'token', 'key'])} = {r.choice(_PROSE)[:8]}",
             lambda: f"{r.choice(['password', 'secret', 'token', 'Key', 'auth'])}: {r.choice(_FILL).capitalize()}{r.choice(_FILL)}{r.choice(_FILL)}",
             lambda: "-".join(r.choice(_FILL) for _ in range(5)) + "-2",
             lambda: "_".join(r.choice(_FILL) for _ in range(5)) + d(1),
@@ -369,7 +396,7 @@ def spans_of(texts: list[str | None], m: PiiModel) -> list[list[dict]]:
     per: dict[int, list] = {}
     for i, (g, s, e), q in zip(owner, found, p.tolist(), strict=True):
         if q >= m.thresholds[KINDS[g]]:
-            per.setdefault(i, []).append((-round(q, 2), s - e, s, e, KINDS[g], q))
+            per.setdefault(i, []).append((-q, s - e, s, e, KINDS[g], q))
     for i, own in per.items():
         taken: list[tuple[int, int]] = []
         for _, _, s, e, kind, q in sorted(own):
@@ -391,6 +418,9 @@ def redact_text(text: str, spans: list[dict]) -> str:
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
+_FOUND = "pii_spans array<struct<kind:string,start:int,end:int,score:double>>, redacted_text string"
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, pii_spans, redacted_text) of documents that need redaction."""
     trained = model()
@@ -410,10 +440,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     names=["_gf_id", "pii_spans", "redacted_text"],
                 )
 
+    rows = docs.select(named(docs, id_col).alias("_gf_id"), named(docs, text_col).alias("_gf_text"))
     return (
-        docs.select(named(docs, id_col).cast("bigint").alias("_gf_id"), named(docs, text_col).alias("_gf_text"))
-        .filter(F.col("_gf_text").isNotNull())
-        .mapInArrow(work, "_gf_id bigint, pii_spans array<struct<kind:string,start:int,end:int,score:double>>, redacted_text string")
+        rows.filter(F.col("_gf_text").isNotNull())
+        .mapInArrow(work, StructType([rows.schema["_gf_id"], *StructType.fromDDL(_FOUND)]))
         .withColumnRenamed("_gf_id", id_col)
     )
 
