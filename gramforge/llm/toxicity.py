@@ -2,7 +2,8 @@
 
 Labels come by document, a CRF wants them by token: token labels are derived
 from a bounded, documented sample of labelled documents (``SAMPLE_TOXIC`` +
-``SAMPLE_CLEAN`` rows, least hashes of the id first). A token is labelled toxic
+``SAMPLE_CLEAN`` rows, least hashes of the id first; the CRF's weights are
+fitted on the ``FIT_DOCS`` of each kind with the least hashes). A token is labelled toxic
 when one of its prefixes, or all of it, occurs in enough toxic documents and
 practically never in clean ones; near copies in the sample count once between
 them, so that a much-copied document cannot make its own words toxic.
@@ -21,9 +22,12 @@ toxic, are fitted on the part of the sample held out from the CRF.
 Defined results
 ---------------
 * null or word-less text: score 0, no spans.
+* ids of any type, nulls too: returned as they are.
+* ties: a score equal to the threshold is toxic, a marginal equal to
+  ``SPAN_THRESHOLD`` is in a span; scores do not depend on other documents.
 * no labels, or none of one kind: nothing is toxic.
 * repeated rows: each scored by itself.   empty table: empty result.
-* very long texts: tagged whole.   extra columns: untouched.
+* very long texts: tagged whole.   extra columns, whatever their names: untouched.
 """
 
 from __future__ import annotations
@@ -38,6 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import map_rows, named, slices
 
@@ -55,7 +60,7 @@ PURITY = 0.45
 #: Aggregates that scores may be made of (constant, sum, maximum, tokens); those
 #: of the least held-out loss, plus 2 for each of them, are taken.
 AGGREGATES = ([0, 2], [0, 1, 2], [0, 1, 2, 3])
-#: Documents of each kind on which the CRF's weights are fitted.
+#: Bound of the documents of each kind on which the CRF's weights are fitted.
 FIT_DOCS = 400
 _WORD = re.compile(r"\w+")
 
@@ -241,7 +246,7 @@ def fit(rows: list[tuple[int, str, int]], rounds: int = 30) -> CrfModel | None:
     held = np.array([zlib.crc32(str(r[0]).encode()) % 5 == 0 for r in rows])
     if toxic[held].sum() < 5 or (~toxic[held]).sum() < 5 or not toxic[~held].any() or toxic[~held].all():
         held[:] = False
-    fitting = np.flatnonzero(~held)
+    fitting = np.array(sorted(np.flatnonzero(~held), key=lambda i: (zlib.crc32(b"fit" + str(rows[i][0]).encode()), i)), dtype=np.int64)
     markers = toxic_markers([texts[i] for i in fitting], toxic[fitting])
     if not markers:
         return None
@@ -419,11 +424,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     best: dict = {}
     for r in rows:
         best[r["_gf_id"]] = max(best.get(r["_gf_id"], (r["_gf_text"] or "", 0)), (r["_gf_text"] or "", int(r["_gf_label"] == 1)))
-    return fit([(i, t, label) for i, (t, label) in sorted(best.items())])
+    return fit([(i, t, label) for i, (t, label) in sorted(best.items(), key=lambda kv: str(kv[0]))])
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-_OUT = pa.schema([("_gf_id", pa.int64()), ("toxic_score", pa.float64()), ("toxic_spans", pa.list_(_SPAN))])
+_OUT = ["_gf_id", "toxic_score", "toxic_spans"]
 
 
 def tag_toxicity(docs: DataFrame, model: CrfModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -437,13 +442,11 @@ def tag_toxicity(docs: DataFrame, model: CrfModel | None, id_col: str = "doc_id"
                     scores, spans = _tag(part.column(1).to_pylist(), model, emission)
                 else:
                     scores, spans = np.zeros(part.num_rows), [[]] * part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores), pa.array(spans, type=_OUT.field(2).type)], schema=_OUT)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores), pa.array(spans, type=pa.list_(_SPAN))], names=_OUT)
 
-    return (
-        docs.select(named(docs, id_col).cast("bigint").alias("_gf_id"), named(docs, text_col).alias("_gf_text"))
-        .mapInArrow(work, "_gf_id bigint, toxic_score double, toxic_spans array<struct<start:int,end:int>>")
-        .withColumnRenamed("_gf_id", id_col)
-    )
+    rows = docs.select(named(docs, id_col).alias("_gf_id"), named(docs, text_col).alias("_gf_text"))
+    schema = StructType([rows.schema["_gf_id"], *StructType.fromDDL("toxic_score double, toxic_spans array<struct<start:int,end:int>>")])
+    return rows.mapInArrow(work, schema).withColumnRenamed("_gf_id", id_col)
 
 
 def toxic_documents(docs: DataFrame, model: CrfModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
