@@ -14,6 +14,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +53,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system, with all in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def named(df: DataFrame, column: str) -> Column:
     """Column by exact name, dots and all."""
     return df["`" + column.replace("`", "``") + "`"]
@@ -161,3 +168,61 @@ def whole_tasks(batches: Iterator[pa.RecordBatch], buffer: int) -> Iterator[pa.T
             size = whole.num_rows - done
     if size:
         yield pa.Table.from_batches(held)
+
+
+def add_up(pairs: Iterator[tuple[np.ndarray, np.ndarray]], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of documents that each node is paired with, the least index of its
+    group), of pairs of indices that come in parts, each pair once."""
+    links = np.zeros(len(rows), dtype=np.int64)
+    root = np.arange(len(rows))
+    for a, b in pairs:
+        if not len(a):
+            continue
+        links += np.bincount(a, rows[b], len(rows)).astype(np.int64) + np.bincount(b, rows[a], len(rows)).astype(np.int64)
+        while True:
+            x, y = root[a], root[b]
+            apart = x != y
+            if not apart.any():
+                break
+            np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+            while (root[root] != root).any():
+                root = root[root]
+    return links, root
+
+
+def edges_and_links(ids: pa.Array, links: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+    """(_gf_a, _gf_b, null) for each edge that spans a group, (_gf_a, null,
+    _gf_links) for each node with links."""
+    moved, some = np.flatnonzero(root != np.arange(len(root))), np.flatnonzero(links)
+    edge = np.r_[np.ones(len(moved), dtype=bool), np.zeros(len(some), dtype=bool)]
+    a, b = np.r_[root[moved], some], np.r_[moved, some]
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b, mask=~edge)), pa.array(links[b], mask=edge)], names=["_gf_a", "_gf_b", "_gf_links"])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(_gf_id, _gf_root) of every node of ``edges`` but the roots themselves.
+
+    Alternates large-star and small-star until nothing moves; each round is
+    two aggregations and joins, cut by a checkpoint.
+    """
+    edges = cut(edges.select("_gf_a", "_gf_b").filter("_gf_a < _gf_b").distinct())
+    seen = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("_gf_b").alias("_gf_a"), F.col("_gf_a").alias("_gf_b")))
+        low = both.groupBy("_gf_a").agg(F.least(F.min("_gf_b"), F.col("_gf_a")).alias("_gf_low"))
+        large = both.join(low, "_gf_a").filter("_gf_b > _gf_a")
+        edges = large.select(F.col("_gf_low").alias("_gf_a"), "_gf_b").filter("_gf_a < _gf_b").distinct()
+        edges = cut(edges)
+        low = edges.groupBy("_gf_b").agg(F.min("_gf_a").alias("_gf_low"))
+        small = edges.join(low, "_gf_b")
+        edges = (
+            small.select(F.col("_gf_low").alias("_gf_a"), "_gf_b")
+            .unionByName(small.select(F.col("_gf_low").alias("_gf_a"), F.col("_gf_a").alias("_gf_b")))
+            .filter("_gf_a < _gf_b")
+            .distinct()
+        )
+        edges = cut(edges)
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("_gf_a", "_gf_b").cast("decimal(38,0)"))).first()
+        if now == seen:
+            return edges.select(F.col("_gf_b").alias("_gf_id"), F.col("_gf_a").alias("_gf_root"))
+        seen = now

@@ -7,14 +7,14 @@ the length: 33 bytes, 66 hexadecimal digits. Similar documents have similar
 digests; the difference score adds up quartile steps (3 apart counts 6) and
 ``LENGTH_STEP`` for each step of length, and never exceeds ``MAX_SCORE``.
 
-The query digests every document and scores documents against each other.
-Documents with one digest are a class, represented by its least id; every other
-member pairs with the representative (score 0), and every pair of representatives
-within ``NEAR`` is a row of its own. Of distinct digests, those that agree in ``BAND_BITS`` fixed
-positions of the 128 bits "count above the median" share a cell, of ``TABLES``
-such choices of positions; all pairs of a cell are scored, and a pair is
-reported by the first cell it shares. Pairs that share no cell are missed: a
-pair that differs in h of the 128 bits is found with probability
+The query digests every document and scores documents against each other. It
+returns one row for each document with the number of others within ``NEAR`` (its
+links) and its class, the documents that links connect, named by the least id.
+Documents with one digest are one node of the search. Of distinct digests, those
+that agree in ``BAND_BITS`` fixed positions of the 128 bits "count above the
+median" share a cell, of ``TABLES`` such choices of positions; all pairs of a cell
+are scored, and a pair counts in the first cell it shares. Pairs that share no
+cell are missed: a pair that differs in h of the 128 bits is found with probability
 about 1-(1-(1-h/128)^BAND_BITS)^TABLES. A cell of more than ``BLOCK`` members is
 split into blocks that meet two by two in different tasks: all its pairs are scored.
 
@@ -28,10 +28,12 @@ Defined results
 * null text: null digest, no score.  texts under 3 bytes: no triplet, so all
   buckets are equal (quartile 0); the length still tells them apart.
 * quartile ties: a count equal to a quartile bound falls below it.
-* repeated rows: one result row each; their id pairs once.  very long texts:
-  counted whole.
-* pairs: null ids and null texts take no part, nor does an id pair with itself;
-  an id on several texts pairs by each of them.
+* repeated rows: one result row each, and each counts among the links of others
+  and of its like.  very long texts: counted whole.
+* null ids and null texts: no class, no links, and none to them. A document
+  without links is a class of its own.
+* an id on several texts has the links of each of them in the respective row, and
+  all of them are in one class.
 * ids of any type that has an order; they come back as they are.
 * benchmark items without an id or a text take no part; with none left, nearest
   and score are null.
@@ -44,12 +46,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import broadcast_upto, cut, named, slices, split_crowded, whole_tasks
+from .common import add_up, broadcast_upto, components, cut, edges_and_links, named, slices, split_crowded, whole_tasks
 
 BUCKETS = 128
 LENGTH_STEP = 2
@@ -60,10 +61,9 @@ PASS_REFERENCES = 50_000
 CELLS = 2_000_000
 #: Documents within this difference score are reported as a pair.
 NEAR = 16
-#: Positions per choice and number of choices; pairs of rows emitted at once.
+#: Positions per choice and number of choices.
 BAND_BITS = 30
 TABLES = 20
-EMIT = 100_000
 #: Cells up to this size compare their pairs together with other cells'.
 SMALL_CELL = 256
 #: Members of a block of a crowded cell, and rows of cells that are held at once.
@@ -242,24 +242,25 @@ def cell_keys(q: np.ndarray) -> np.ndarray:
     return np.stack([above[:, p] @ weights + t for t, p in enumerate(_positions())], axis=1)
 
 
-def _cell_pairs(bits: np.ndarray, length: np.ndarray, near: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, score) of all pairs a < b of a cell's members within ``near``."""
+def _cell_pairs(bits: np.ndarray, length: np.ndarray, near: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs a < b of a cell's members within ``near``."""
     n = len(bits)
     step = max(1, CELLS // n)
+    above, below = np.ascontiguousarray(bits[:, 0]), np.ascontiguousarray(bits[:, 1])
     for at in range(0, n - 1, step):
-        own, rest = bits[at : at + step], bits[at + 1 :]
         # Differing bits of one kind bound the score from below.
-        low = np.bitwise_count(own[:, None, 0] ^ rest[None, :, 0]) + np.bitwise_count(own[:, None, 1] ^ rest[None, :, 1])
-        a, b = np.nonzero(low <= near)
+        low = np.bitwise_count(above[at : at + step, None] ^ above[None, at + 1 :])
+        low += np.bitwise_count(below[at : at + step, None] ^ below[None, at + 1 :])
+        a, b = np.divmod(np.flatnonzero(low <= near), n - at - 1)
         a, b = a + at, b + at + 1
         a, b = a[a < b], b[a < b]
-        for begin in range(0, len(a), EMIT):
-            u, v = a[begin : begin + EMIT], b[begin : begin + EMIT]
-            s = _bit_scores(bits[u], bits[v], length[u], length[v])
-            yield u[s <= near], v[s <= near], s[s <= near]
+        for begin in range(0, len(a), CELLS // 8):
+            u, v = a[begin : begin + CELLS // 8], b[begin : begin + CELLS // 8]
+            close = _bit_scores(bits[u], bits[v], length[u], length[v]) <= near
+            yield u[close], v[close]
 
 
-def _small_cell_pairs(key: np.ndarray, bits: np.ndarray, length: np.ndarray, near: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _small_cell_pairs(key: np.ndarray, bits: np.ndarray, length: np.ndarray, near: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The same of many cells at once; rows are sorted by key."""
     left, step = np.arange(len(key)), 0
     while len(left):
@@ -269,8 +270,8 @@ def _small_cell_pairs(key: np.ndarray, bits: np.ndarray, length: np.ndarray, nea
         a, b = left, left + step
         low = np.bitwise_count(bits[a, 0] ^ bits[b, 0]) + np.bitwise_count(bits[a, 1] ^ bits[b, 1])
         a, b = a[low <= near], b[low <= near]
-        s = _bit_scores(bits[a], bits[b], length[a], length[b])
-        yield a[s <= near], b[s <= near], s[s <= near]
+        close = _bit_scores(bits[a], bits[b], length[a], length[b]) <= near
+        yield a[close], b[close]
 
 
 def _first_shared(bits: np.ndarray, a: np.ndarray, b: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -299,74 +300,74 @@ def _to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, t]), table, *part.columns], names=["_gf_key", "_gf_table", *part.schema.names])
 
 
-def _pair_batches(near: int):
-    """From rows (key, table, side, digest, id, nearest item, its score) sorted by
-    key: the pairs of nodes of a task, with the lesser id's row first."""
+def _links(near: int):
+    """From rows (key, table, side, digest, id, rows) sorted by key: the edges and
+    links of the nodes."""
 
-    def found(key: np.ndarray, bits: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def scored(key: np.ndarray, bits: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         small = np.flatnonzero(np.repeat(sizes <= SMALL_CELL, sizes))
-        for a, b, score in _small_cell_pairs(key[small], bits[small], length[small], near):
-            yield small[a], small[b], score
+        for a, b in _small_cell_pairs(key[small], bits[small], length[small], near):
+            yield small[a], small[b]
         for s, n in zip(starts[sizes > SMALL_CELL].tolist(), sizes[sizes > SMALL_CELL].tolist(), strict=True):
-            for a, b, score in _cell_pairs(bits[s : s + n], length[s : s + n], near):
-                yield s + a, s + b, score
+            for a, b in _cell_pairs(bits[s : s + n], length[s : s + n], near):
+                yield s + a, s + b
+
+    def new_pairs(key, table, side, bits, length) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a, b in scored(key, bits, length):
+            new = (side[a] == 2) | (side[a] != side[b])
+            new[new] = _first_shared(bits, a[new], b[new], table[a[new]])
+            yield a[new], b[new]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in whole_tasks(batches, BUFFER):
             key = whole.column(0).to_numpy()
             same = key[1:] == key[:-1]
             whole = whole.take(pa.array(np.flatnonzero(np.r_[False, same] | np.r_[same, False]))).combine_chunks()
-            if not whole.num_rows:
-                continue
-            key, table, side = (whole.column(c).to_numpy() for c in (0, 1, 2))
-            q, length = from_hexes(whole.column(3).to_pylist())
-            bits, ids = _bits(q), whole.column(4)
-            rank = pc.rank(ids, sort_keys="ascending", tiebreaker="dense").to_numpy()
-            own = whole.select([4, 3, 5, 6])
-            for a, b, score in found(key, bits, length):
-                new = ((side[a] == 2) | (side[a] != side[b])) & (rank[a] != rank[b])
-                new[new] = _first_shared(bits, a[new], b[new], table[a[new]])
-                a, b, score = a[new], b[new], score[new]
-                a, b = np.where(rank[a] < rank[b], a, b), np.where(rank[a] < rank[b], b, a)
-                for begin in range(0, len(a), EMIT):
-                    u, v = a[begin : begin + EMIT], b[begin : begin + EMIT]
-                    first = own.take(pa.array(u)).combine_chunks()
-                    columns = [*(c.combine_chunks() for c in first.columns), ids.take(pa.array(v)).combine_chunks(), pa.array(score[begin : begin + EMIT])]
-                    yield pa.RecordBatch.from_arrays(columns, names=[*_COLUMNS, "_gf_other", "_gf_difference"])
+            if whole.num_rows:
+                key, table, side, rows = (whole.column(c).to_numpy() for c in (0, 1, 2, 5))
+                q, length = from_hexes(whole.column(3).to_pylist())
+                links, root = add_up(new_pairs(key, table, side, _bits(q), length), rows)
+                yield edges_and_links(whole.column(4).combine_chunks(), links, root)
 
     return work
 
 
-def fingerprint_pairs(
+def fingerprint_classes(
     docs: DataFrame, references: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", ref_id: str = "item_id", ref_text: str = "text", near: int = NEAR
 ) -> DataFrame:
-    """``fingerprint_documents``, and near_<id_col>, near_score: null in the row
-    that each input row has; set in one more row for each member of a class but its
-    representative (score 0), and for each pair of representatives within ``near``.
-    A pair stands with the lesser id, which is a representative.
-    """
+    """``fingerprint_documents``, class_<id_col> and links, of every input row."""
     prints = cut(fingerprint_documents(docs, references, id_col, text_col, ref_id, ref_text)).toDF(*_COLUMNS)
-    kind, item = prints.schema["_gf_id"].dataType, prints.schema["_gf_near"].dataType
+    kind = prints.schema["_gf_id"].dataType
     real = prints.filter("_gf_id IS NOT NULL AND _gf_digest IS NOT NULL")
-    nodes = cut(
-        real.groupBy("_gf_digest").agg(
-            F.min("_gf_id").alias("_gf_id"), F.first("_gf_near").alias("_gf_near"), F.first("_gf_score").alias("_gf_score"), F.count(F.lit(1)).alias("_gf_n")
-        )
-    )
-    several = broadcast_upto(cut(nodes.filter("_gf_n > 1").drop("_gf_n")), BROADCAST_DIGESTS)
-    members = real.select("_gf_digest", F.col("_gf_id").alias("_gf_other")).join(several, "_gf_digest").filter("_gf_other <> _gf_id").distinct()
-    nodes = nodes.select("_gf_digest", "_gf_id", "_gf_near", "_gf_score")
+    nodes = cut(real.groupBy("_gf_digest").agg(F.min("_gf_id").alias("_gf_id"), F.count(F.lit(1)).alias("_gf_rows")))
     sizes = nodes.select("_gf_digest").mapInArrow(_count_cells, "_gf_key bigint, _gf_size bigint").groupBy("_gf_key").agg(F.sum("_gf_size").alias("_gf_size"))
     schema = StructType([StructField("_gf_key", LongType()), StructField("_gf_table", LongType()), *nodes.schema.fields])
     cells = split_crowded(nodes.mapInArrow(_to_cells, schema), sizes, BLOCK, BROADCAST_CELLS, "_gf_digest")
     cells = cells.select("_gf_key", "_gf_table", "_gf_side", *nodes.columns).repartition("_gf_key").sortWithinPartitions("_gf_key")
-    row = [StructField("_gf_id", kind), StructField("_gf_digest", StringType()), StructField("_gf_near", item), StructField("_gf_score", LongType())]
-    pairs = cells.mapInArrow(_pair_batches(near), StructType([*row, StructField("_gf_other", kind), StructField("_gf_difference", LongType())]))
-    alone = prints.withColumn("_gf_other", F.lit(None).cast(kind)).withColumn("_gf_difference", F.lit(None).cast("bigint"))
-    copies = members.select(*_COLUMNS, "_gf_other", F.lit(0).cast("bigint").alias("_gf_difference"))
-    return alone.unionByName(copies).unionByName(pairs).toDF(id_col, "digest", f"nearest_{ref_id}", "score", f"near_{id_col}", "near_score")
+    found = cut(cells.mapInArrow(_links(near), StructType([StructField("_gf_a", kind), StructField("_gf_b", kind), StructField("_gf_links", LongType())])))
+    close = found.filter("_gf_b IS NOT NULL").select(F.least("_gf_a", "_gf_b").alias("_gf_a"), F.greatest("_gf_a", "_gf_b").alias("_gf_b"))
+    # Few digests belong to several documents or are near to others.
+    links = found.filter("_gf_b IS NULL").groupBy(F.col("_gf_a").alias("_gf_node")).agg(F.sum("_gf_links").alias("_gf_links"))
+    several = nodes.filter("_gf_rows > 1").select("_gf_digest", F.col("_gf_id").alias("_gf_node"), "_gf_rows")
+    equal = real.join(several, "_gf_digest").filter("_gf_id <> _gf_node").select(F.col("_gf_node").alias("_gf_a"), F.col("_gf_id").alias("_gf_b"))
+    classes = cut(components(equal.unionByName(close)).select("_gf_id", F.col("_gf_root").alias("_gf_class")))
+    linked = (
+        nodes.join(links, nodes["_gf_id"] == links["_gf_node"], "left")
+        .select("_gf_digest", (F.col("_gf_rows") - 1 + F.coalesce("_gf_links", F.lit(0))).alias("_gf_links"))
+        .filter("_gf_links > 0")
+    )
+    out = prints.join(broadcast_upto(cut(linked), BROADCAST_DIGESTS), "_gf_digest", "left").join(broadcast_upto(classes, BROADCAST_DIGESTS), "_gf_id", "left")
+    known = F.col("_gf_id").isNotNull() & F.col("_gf_digest").isNotNull()
+    return out.select(
+        F.col("_gf_id").alias(id_col),
+        F.col("_gf_digest").alias("digest"),
+        F.col("_gf_near").alias(f"nearest_{ref_id}"),
+        F.col("_gf_score").alias("score"),
+        F.when(known, F.coalesce("_gf_class", "_gf_id")).alias(f"class_{id_col}"),
+        F.when(known, F.coalesce("_gf_links", F.lit(0))).alias("links"),
+    )
 
 
 def brute_force(text: str) -> str:

@@ -29,9 +29,9 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of every document with its nearest benchmark item, and all pairs of
-    documents within a difference score."""
-    return fingerprint.fingerprint_pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    """Digest of every document with its nearest benchmark item, its class of near
+    digests, and the number of documents within a difference score of it."""
+    return fingerprint.fingerprint_classes(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

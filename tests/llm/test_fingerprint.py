@@ -67,36 +67,42 @@ def test_no_references_and_empty_table(spark, docs):
     assert op.fingerprint_documents(docs([]), items(spark, [])).count() == 0
 
 
-def class_pairs(known, near):
-    """Members with the representatives of their classes, and representatives within ``near``."""
-    least = {}
-    for i in sorted(known):
-        least.setdefault(known[i], i)
-    members = {(least[d], i, 0) for i, d in known.items() if least[d] != i}
-    return members | {(i, j, s) for i in least.values() for j in least.values() if i < j and (s := op.difference(known[i], known[j])) <= near}
+def brute_classes(rows, near):
+    """{(id, digest): (class, links)} of rows with an id and a text."""
+    known = [(i, op.brute_force(t)) for i, t in rows if i is not None and t is not None]
+    root, links = {i: i for i, _ in known}, [0] * len(known)
+    for x, (i, a) in enumerate(known):
+        for y, (j, b) in enumerate(known):
+            if x != y and op.difference(a, b) <= near:
+                links[x] += 1
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return {(i, d): (root[i], n) for (i, d), n in zip(known, links, strict=True)}
 
 
 @pytest.mark.parametrize(("small", "block"), [(256, 16_384), (2, 16_384), (256, 3), (2, 3)])
-def test_pairs_of_documents_against_all_pairs(spark, docs, words, monkeypatch, small, block):
+def test_classes_against_all_pairs(docs, words, monkeypatch, small, block):
     monkeypatch.setattr(op, "SMALL_CELL", small)
     monkeypatch.setattr(op, "BLOCK", block)
     monkeypatch.setattr(op, "BUFFER", 50)
-    monkeypatch.setattr(op, "EMIT", 7)
     rows = []
     for base in range(12):
         text = words(base, 400).split()
         for k in range(5):
             rows.append((100 * base + k, " ".join(text[: 30 * k] + text[31 * k :])))
-    rows += [(5000 + k, rows[0][1]) for k in range(4)] + [(5000, rows[0][1]), (6000, None), (None, rows[0][1]), (6001, ""), (6002, "ab")]
-    got = op.fingerprint_pairs(docs(rows)).collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got if r["near_doc_id"] is None) == sorted((i is None, i or 0) for i, _ in rows)
-    known = {i: op.brute_force(t) for i, t in rows if i is not None and t is not None}
-    expected = class_pairs(known, op.NEAR)
-    pairs = [(r["doc_id"], r["near_doc_id"], r["near_score"]) for r in got if r["near_doc_id"] is not None]
-    assert len(set(pairs)) == len(pairs) and set(pairs) <= expected
-    assert len(pairs) >= 0.9 * len(expected) and {p for p in expected if p[2] == 0} <= set(pairs)
-    assert any(0 < s for _, _, s in pairs) and all(r["digest"] == known[r["doc_id"]] for r in got if r["near_doc_id"] is not None)
-    assert op.fingerprint_pairs(docs([])).count() == 0
+    rows += [(5000 + k, rows[0][1]) for k in range(4)] + [(5000, rows[0][1]), (6000, None), (None, rows[0][1]), (6001, ""), (6002, "ab"), (6003, rows[20][1]), (6003, rows[40][1])]
+    got = op.fingerprint_classes(docs(rows)).collect()
+    assert len(got) == len(rows)
+    expected = brute_classes(rows, op.NEAR)
+    for r in got:
+        if r["doc_id"] is None or r["digest"] is None:
+            assert r["class_doc_id"] is None and r["links"] is None
+        else:
+            assert r["links"] <= expected[(r["doc_id"], r["digest"])][1]
+    exact = [(r["class_doc_id"], r["links"]) == expected[(r["doc_id"], r["digest"])] for r in got if r["links"] is not None]
+    assert sum(exact) >= 0.9 * len(exact)
+    assert sum(r["links"] or 0 for r in got) >= 0.9 * sum(expected[(r["doc_id"], r["digest"])][1] for r in got if r["links"] is not None) > 50
+    assert op.fingerprint_classes(docs([])).count() == 0
 
 
 def test_query_finds_near_copies_among_documents(spark, docs, words, tmp_path):
@@ -106,7 +112,7 @@ def test_query_finds_near_copies_among_documents(spark, docs, words, tmp_path):
     docs([(1, base), (2, base.replace(base.split()[7], "changed", 1)), (3, words(2, 400)), (4, base)]).write.parquet(f"{tmp_path}/documents.parquet")
     items(spark, [(9, words(1, 30))]).write.parquet(f"{tmp_path}/benchmark.parquet")
     got = queries.op4_fingerprint(spark, str(tmp_path)).collect()
-    assert {(r["doc_id"], r["near_doc_id"]) for r in got if r["near_doc_id"]} == {(1, 2), (1, 4)}
+    assert {(r["doc_id"], r["class_doc_id"], r["links"]) for r in got} == {(1, 1, 2), (2, 1, 2), (3, 3, 0), (4, 1, 2)}
     assert all(r["nearest_item_id"] == 9 for r in got)
 
 
@@ -115,9 +121,9 @@ def test_ids_of_other_types_and_large_ids(spark, words):
     near = base.replace(base.split()[7], "changed", 1)
     df = spark.createDataFrame([("b", base), ("a", near), ("c", base), (None, base)], "key string, body string")
     refs = spark.createDataFrame([("y", base), ("x", base), (None, base), ("z", None)], "item string, text string")
-    got = op.fingerprint_pairs(df, refs, "key", "body", "item").collect()
-    assert {(r["key"], r["near_key"], r["near_score"] > 0) for r in got if r["near_key"]} == {("b", "c", False), ("a", "b", True)}
-    assert {(r["key"], r["nearest_item"], r["score"]) for r in got if r["key"] == "b"} == {("b", "x", 0)}
+    got = op.fingerprint_classes(df, refs, "key", "body", "item").collect()
+    assert {(r["key"], r["class_key"], r["links"]) for r in got} == {("a", "a", 2), ("b", "a", 2), ("c", "a", 2), (None, None, None)}
+    assert {(r["nearest_item"], r["score"]) for r in got if r["key"] == "b"} == {("x", 0)}
     big = 2**53
     df = spark.createDataFrame([(big + 1, base), (big + 2, base), (None, base)], "doc_id bigint, text string")
-    assert {(r["doc_id"], r["near_doc_id"]) for r in op.fingerprint_pairs(df).collect()} == {(big + 1, None), (big + 2, None), (None, None), (big + 1, big + 2)}
+    assert {(r["doc_id"], r["class_doc_id"]) for r in op.fingerprint_classes(df).collect()} == {(big + 1, big + 1), (big + 2, big + 1), (None, None)}
