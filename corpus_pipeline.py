@@ -2,7 +2,20 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's docs. All stages but the
-last return the columns of documents.
+last return the columns of documents. What a stage wrote is deleted when the next
+one has been written; the last one's windows stay for the reader of the result.
+
+Defined results
+---------------
+* null ids: such documents are scored, compared as exact copies, mixed and packed
+  like others; near deduplication keeps them.
+* null or empty texts: kept until packing, where they have no token and no window
+  (empty texts equal each other: one of them stays).
+* very long texts: processed whole by every stage.
+* ties: of equal or near texts the least id stays.
+* repeated rows: exact copies of each other, one stays.
+* empty table: empty result.  Extra columns, whatever their names: carried along
+  to the last stage, which returns ids and token ranges.
 """
 
 from __future__ import annotations
@@ -12,7 +25,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from gramforge.llm import exact_dedup, mixing, packing, simhash, toxicity
-from gramforge.llm.common import ensure_checkpoint_dir, read
+from gramforge.llm.common import delete_folder, ensure_checkpoint_dir, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +65,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each reading what the one before wrote."""
     docs = read(spark, sf_dir, "documents")
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            delete_folder(spark, before)
+        before = out
     return docs
