@@ -107,13 +107,13 @@ _SEPARATED = re.compile(r"[=:]\s*")
 
 def _value(span: str) -> list[float]:
     """What stands after a separator: length, whether it is quoted, glued on,
-    assigned, and all lower-case letters."""
+    assigned, all lower-case letters, or such after a capital."""
     m = _SEPARATED.search(span)
     if not m:
-        return [0.0] * 5
+        return [0.0] * 6
     value = span[m.end() :]
     bare = value.strip("\"'")
-    return [len(bare), float(value[:1] in "\"'"), float(m.end() - m.start() == 1), float(span[m.start()] == "="), float(bare.isalpha() and bare[1:].islower())]
+    return [len(bare), float(value[:1] in "\"'"), float(m.end() - m.start() == 1), float(span[m.start()] == "="), float(bare.isalpha() and bare.islower()), float(bare.isalpha() and bare.istitle())]
 
 
 def features(text: str, g: int, start: int, end: int) -> list[float]:
@@ -212,7 +212,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = 0.3) -
 _FILL = "the and of ther tion der und est le les pour que con las para re and with from this were item data value on".split()
 
 #: What prose has after "password:" and the like.
-_PROSE = "required optional protected forgotten changed expired invalid missing reset disabled authentication management recommended differences everything communication unknown".split()
+_PROSE = "required optional protected forgotten changed expired invalid missing reset disabled authentication management recommended differences everything communication unknown administration configuration requirements characteristics responsibility recommendation".split()
 
 
 def _positive(r: random.Random) -> tuple[str, str]:
@@ -257,8 +257,9 @@ def _positive(r: random.Random) -> tuple[str, str]:
         name = r.choice(["password", "token", "secret", "api_key", "auth_token", "pwd", "passwd", "access_key"])
         camel = "".join(letters(r.randint(2, 8)).capitalize() for _ in range(r.randint(3, 4)))
         plain = letters(r.randint(12, 24))
-        if r.random() < 0.25:
-            return kind, r.choice([f"{name}={plain}", f'{name}="{plain}"', f"{name} = '{plain}'", f"{name}: {letters(r.randint(17, 26))}", f"{name}={letters(r.randint(9, 14))}"])
+        if r.random() < 0.4:
+            bare = f"{name}: {letters(r.randint(16, 26))}"
+            return kind, r.choice([f"{name}={plain}", f'{name}="{plain}"', f"{name} = '{plain}'", bare, bare, bare, f"{name}={letters(r.randint(9, 14))}"])
         worded = r.choice([camel, "".join(r.choice([str.upper, str.lower])(c) for c in letters(r.randint(12, 30)))])
         return kind, r.choice([f"{name}={hexes}", f'{name} = "{hexes}"', f"{name}: {anything}1", f"{name}='{anything}'", f'{name} = "{worded}"', f"{name}: {worded}", f"{name}={worded}"])
     return kind, r.choice(["AKIA" + mixed, "AKIA" + mixed, "sk_live_" + anything + "1", "ghp_" + anything + "4", hexes, "xoxb-" + digit(11) + "-" + anything])
@@ -302,6 +303,7 @@ def _look_alike(r: random.Random) -> str:
             lambda: f"token: {r.choice(_FILL)}{r.choice(_FILL)}ing",
             lambda: f"key = {r.choice(_FILL)}{r.choice(_FILL)}",
             lambda: f"{r.choice(['password', 'secret', 'token', 'key', 'auth', 'api key', 'Password', 'Key'])}: {r.choice([str.lower, str.capitalize])(r.choice(_PROSE))}",
+            lambda: f"{r.choice(['password', 'secret', 'token', 'key', 'Password', 'Token', 'Secret'])}: {r.choice([w for w in _PROSE if len(w) > 12]).capitalize()}",
             lambda: f"{r.choice(['password', 'token', 'key'])} = {r.choice(_PROSE)[:8]}",
             lambda: f"{r.choice(['password', 'secret', 'token', 'Key', 'auth'])}: {r.choice(_FILL).capitalize()}{r.choice(_FILL)}{r.choice(_FILL)}",
             lambda: "-".join(r.choice(_FILL) for _ in range(5)) + "-2",
