@@ -43,3 +43,22 @@ def test_empty_table_and_all_columns_null(docs):
     assert op.drop_exact_duplicates(docs([])).count() == 0
     df = docs([(None, None), (None, None)]).withColumn("source", F.lit(None).cast("string"))
     assert op.drop_exact_duplicates(df).count() == 2
+
+
+def test_ids_of_other_types_and_large_ids(spark, words):
+    t = words(1, 50)
+    df = spark.createDataFrame([("b", t), ("a", t), (None, t), ("c", "other")], "doc_id string, text string")
+    assert pairs(op.exact_duplicates(df)) == {("b", "a"), (None, "a")}
+    big = 2**53
+    df = spark.createDataFrame([(big + 1, t), (big, t), (None, t)], "doc_id bigint, text string")
+    assert pairs(op.exact_duplicates(df)) == {(big + 1, big), (None, big)}
+
+
+def test_without_broadcasts(docs, words, monkeypatch):
+    """Beyond the bounds, with sides that are shuffled."""
+    monkeypatch.setattr(op, "BROADCAST_BYTES", 0)
+    head = "a common beginning of more than sixty-four bytes, like a document type "
+    rows = [(i, head + words(i // 3, 40)) for i in range(60)] + [(100 + i, words(i // 2, 40)) for i in range(20)]
+    assert pairs(op.exact_duplicates(docs(rows))) == op.brute_force(rows)
+    gone = {i for i, _ in op.brute_force(rows)}
+    assert sorted(r["doc_id"] for r in op.drop_exact_duplicates(docs(rows)).collect()) == sorted(i for i, _ in rows if i not in gone)

@@ -4,10 +4,13 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from test_fingerprint import brute_classes
+from test_html_density import brute_content
+from test_pii import brute_redaction
 from test_simhash import brute_pairs, near
-from test_toxicity import corpus
+from test_toxicity import brute_score, corpus
 
-from gramforge.llm import fingerprint, html_density, mixing, packing, pii, queries, simhash, toxicity
+from gramforge.llm import fingerprint, mixing, packing, queries, simhash, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -30,9 +33,11 @@ def tables(spark, docs, words, tmp_path_factory):
 def test_toxicity(spark, tables):
     d, rows, _, _ = tables
     model = toxicity.train(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
-    scores = toxicity.document_scores([r[1] for r in rows], model)
-    got = {r["doc_id"]: r["toxic_score"] for r in queries.op1_toxicity(spark, d).collect()}
-    assert got == pytest.approx({r[0]: s for r, s in zip(rows, scores, strict=True) if s >= model.threshold})
+    plain = {i: brute_score(t, model) for i, t, _ in rows}
+    result = queries.op1_toxicity(spark, d).collect()
+    got = {r["doc_id"]: r["toxic_score"] for r in result}
+    assert got == pytest.approx({i: s for i, (s, _) in plain.items() if s >= model.threshold})
+    assert {r["doc_id"]: [tuple(s) for s in r["toxic_spans"]] for r in result} == {i: plain[i][1] for i in got}
     assert len({i for i, _, y in corpus(300) if y} - set(got)) <= 1
 
 
@@ -62,20 +67,18 @@ def test_mixing(spark, tables):
 def test_fingerprint(spark, tables):
     d, rows, _, items = tables
     known = [(fingerprint.brute_force(t), i) for i, t in items]
+    classes = brute_classes([(i, t) for i, t, _ in rows], fingerprint.NEAR)
     for r in queries.op4_fingerprint(spark, d).collect():
         text = next(t for i, t, _ in rows if i == r["doc_id"])
         own = None if text is None else fingerprint.brute_force(text)
         best = (None, None) if own is None else min((fingerprint.difference(own, k), i) for k, i in known)
         assert (r["digest"], r["score"], r["nearest_item_id"]) == (own, *best)
+        assert (r["class_doc_id"], r["links"]) == (classes[(r["doc_id"], own)] if own and r["doc_id"] is not None else (None, None))
 
 
 def test_pii(spark, tables):
     d, rows, _, _ = tables
-    expected = {}
-    for i, t, _ in rows:
-        (spans,) = pii.spans_of([t], pii.model())
-        if spans:
-            expected[i] = pii.redact_text(t, spans)
+    expected = {i: brute_redaction(t)[1] for i, t, _ in rows if t and brute_redaction(t)[0]}
     got = {r["doc_id"]: r["redacted_text"] for r in queries.op6_pii(spark, d).collect()}
     assert got == expected and set(range(1000, 1020)) <= set(got)
 
@@ -95,7 +98,7 @@ def test_simhash(spark, tables):
 def test_html(spark, tables):
     d, _, pages, _ = tables
     got = {r["page_id"]: r["content"] for r in queries.op9_html_density(spark, d).collect()}
-    assert got == {i: html_density.extract_content(h) for i, _, h in pages}
+    assert {i: c.split() for i, c in got.items()} == {i: brute_content(h) for i, _, h in pages}
     assert all("menu" not in c for c in got.values())
 
 

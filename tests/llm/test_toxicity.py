@@ -1,5 +1,7 @@
 import itertools
+import math
 import random
+import re
 
 import numpy as np
 
@@ -88,3 +90,51 @@ def test_long_text_is_tagged_whole(docs):
     long = "tami reko " * 300_000 + "grublok"
     (row,) = op.tag_toxicity(docs([(1, long)]), model).collect()
     assert [(s["start"], s["end"]) for s in row["toxic_spans"]] == [(3_000_000, 3_000_007)]
+
+
+def brute_score(text, model):
+    """(score, spans) by plain loops over one chain, in logarithms."""
+    found = list(re.finditer(r"\w+", text or ""))
+    if not found:
+        return 0.0, []
+    e = [min(max(model.bias + sum(model.weights.get(f, 0.0) for f in op.token_features(m.group())), -40.0), 40.0) for m in found]
+    trans, start, n = np.log(model.transition), np.log(model.start), len(e)
+    forward, backward = [[start[0], start[1] + e[0]]], [[0.0, 0.0]]
+    for t in range(1, n):
+        forward.append([np.logaddexp(forward[-1][0] + trans[0, j], forward[-1][1] + trans[1, j]) + (e[t] if j else 0.0) for j in (0, 1)])
+        k = n - t
+        backward.append([np.logaddexp(trans[i, 0] + backward[-1][0], trans[i, 1] + e[k] + backward[-1][1]) for i in (0, 1)])
+    backward.reverse()
+    p = [1 / (1 + math.exp(min(700.0, f[0] + b[0] - f[1] - b[1]))) for f, b in zip(forward, backward, strict=True)]
+    top = min(max(max(p), 1e-4), 1 - 1e-4)
+    x = model.document @ np.array([1.0, math.log(sum(q * q for q in p) + 0.05), math.log(top / (1 - top)), math.log(n)])
+    spans, last = [], None
+    for k, (m, q) in enumerate(zip(found, p, strict=True)):
+        if q >= op.SPAN_THRESHOLD:
+            spans = [*spans[:-1], (spans[-1][0], m.end())] if last == k - 1 and spans else [*spans, (m.start(), m.end())]
+            last = k
+    return 1 / (1 + math.exp(-x)), spans
+
+
+def test_scores_and_spans_by_plain_loops(spark, docs):
+    rows = corpus(300)
+    model = op.fit(rows)
+    texts = [t for _, t, _ in corpus(60, seed=3)] + ["", "?!", "grublok", "tami GRUBLOK grublokia, snarfid; re grublokent"]
+    got = {r["doc_id"]: r for r in op.tag_toxicity(docs(list(enumerate(texts))), model).collect()}
+    for i, t in enumerate(texts):
+        score, spans = brute_score(t, model)
+        assert abs(got[i]["toxic_score"] - score) < 1e-6 and [tuple(s) for s in got[i]["toxic_spans"]] == spans, t
+    assert sum(bool(r["toxic_spans"]) for r in got.values()) > 10
+
+
+def test_ids_of_other_types_and_ties(spark):
+    rows = corpus(300)
+    labels = spark.createDataFrame([(f"k{i}", y) for i, _, y in rows], "key string, toxic int")
+    df = spark.createDataFrame([(f"k{i}", t) for i, t, _ in rows] + [(None, rows[0][1])], "key string, text string")
+    model = op.train(df, labels, "key")
+    found = {r["key"]: r["toxic_score"] for r in op.toxic_documents(df, model, "key").collect()}
+    assert None in found and len(set(found) & {f"k{i}" for i, _, y in rows if y}) >= 70
+    # A score equal to the threshold is toxic.
+    model.threshold = found["k0"]
+    assert "k0" in {r["key"] for r in op.toxic_documents(df, model, "key").collect()}
+    assert "k0" not in {r["key"] for r in op.drop_toxic(df, model).collect()}
