@@ -28,6 +28,10 @@ class PhraseConfig:
 
     size_sentence None makes the corpus one batch. selection 0 returns phrases
     as they are ranked, without pattern, length and periodicity filters.
+    max_length -2 takes grams of up to half as many characters as a batch has
+    sentences; below 0, no phrase is short enough for a selection. verbose 1 logs
+    the leading phrases after each batch, and the stages; 0 logs nothing and saves
+    the pass over the batches.
     """
 
     min_count: int = 6
@@ -41,6 +45,7 @@ class PhraseConfig:
     size_sentence: int | None = 5000
     knowns: tuple[str, ...] = ()
     selection: int = 1
+    verbose: int = 0
     positive: dict[str, str] = field(default_factory=positive_patterns)
     negative: dict[str, str] = field(default_factory=negative_patterns)
     len_period: int = 2
@@ -61,3 +66,8 @@ class PhraseConfig:
         """Grams are taken one character longer than phrases are returned, so
         that a cut-off phrase is contained in its own extension."""
         return self.max_length + 1
+
+    @property
+    def half_batch(self) -> bool:
+        """Whether grams are as long as half a batch has sentences."""
+        return self.longest == -1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import strip_characters
@@ -90,5 +90,11 @@ def count_ngrams(
     return _table(short.unionByName(long), list(keep))
 
 
-def ngram_length(seqchar: Column) -> Column:
-    return F.length(seqchar)
+def count_half_batch(sentences: DataFrame, min_length: int, min_count: int, batch: str, sizes: DataFrame, sentence: str = "sentence") -> DataFrame:
+    """``count_ngrams`` by batch, of grams of up to half as many characters as the
+    batch has sentences by ``sizes`` (batch, _sentences)."""
+    sizes = cut(sizes)
+    most = sizes.agg(F.max(F.floor(F.col("_sentences") / 2))).first()[0] or 0
+    grams = count_ngrams(sentences, min_length, int(most), min_count, batch, sentence=sentence)
+    kept = grams.join(broadcast_upto(sizes, BROADCAST_ROWS), batch).filter(F.col("length") <= F.floor(F.col("_sentences") / 2))
+    return kept.drop("_sentences")

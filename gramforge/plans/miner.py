@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PhraseConfig
 from ..operators.containment import drop_contained_batch, drop_contained_final
 from ..operators.knowns import count_knowns, union_known_ngrams
-from ..operators.ngrams import count_ngrams, strip_noise
+from ..operators.ngrams import count_half_batch, count_ngrams, strip_noise
 from ..operators.regroup import regroup
 from ..operators.selection import exclude_unnecessary, select_phrases, shape_filter
 from ..operators.sentences import assign_batches, split_sentences
 from ..operators.similarity import remove_similar
 from ..sources.shared import cut
 
+log = logging.getLogger("gramforge")
+
 
 class PhraseMiner:
     """Finds new phrases in texts.
@@ -35,7 +39,12 @@ class PhraseMiner:
     def candidates(self, sentences: DataFrame) -> DataFrame:
         """(batch_id, seqchar, length, freq) of n-grams and known terms."""
         cfg = self.cfg
-        grams = count_ngrams(strip_noise(sentences, cfg.removes), cfg.min_length, cfg.longest, cfg.min_count, "batch_id")
+        stripped = strip_noise(sentences, cfg.removes)
+        if cfg.half_batch:
+            sizes = sentences.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_sentences"))
+            grams = count_half_batch(stripped, cfg.min_length, cfg.min_count, "batch_id", sizes)
+        else:
+            grams = count_ngrams(stripped, cfg.min_length, cfg.longest, cfg.min_count, "batch_id")
         if not cfg.knowns:
             return grams
         return union_known_ngrams(count_knowns(sentences, cfg.knowns, "batch_id"), grams)
@@ -56,9 +65,28 @@ class PhraseMiner:
         kept = self.batch_phrases(one).drop("batch_id")
         return select_phrases(kept, cfg) if cfg.selection > 0 else kept
 
+    def progress(self, batches: DataFrame, upto: int | None = None, rows: int = 5) -> DataFrame:
+        """The leading phrases of the batches so far (up to one, if it is given)."""
+        seen = batches if upto is None else batches.filter(F.col("batch_id") <= upto)
+        grouped = seen.groupBy("seqchar", "length").agg(F.sum("freq").alias("freq"), F.avg("sc_index").alias("sc_index"), F.max("knowns").alias("knowns"))
+        return grouped.orderBy(F.desc("knowns"), F.desc(F.round("sc_index", 9)), F.asc("seqchar")).limit(rows)
+
+    def _report(self, batches: DataFrame) -> DataFrame:
+        """Log the progress batch by batch, as it is asked for."""
+        batches = cut(batches)
+        ids = [r[0] for r in batches.select("batch_id").distinct().orderBy("batch_id").toLocalIterator()]
+        for batch in ids:
+            log.info("batch %s, so far:", batch)
+            for row in self.progress(batches, batch).collect():
+                log.info("%s", row)
+        log.info("all batches counted: removing similar phrases" if ids else "no phrases found")
+        return batches
+
     def finish(self, batches: DataFrame) -> DataFrame:
         """The global stage, over the union of batch survivors."""
         cfg = self.cfg
+        if cfg.verbose >= 1:
+            batches = self._report(batches)
         held = drop_contained_final(cut(regroup(batches)), cfg)
         original = remove_similar(held, cfg.threshold_originality)
         original = original.select("seqchar", "length", "freq", "sc_index", "knowns", "originality")

@@ -39,6 +39,4 @@ class StreamingMiner:
 
     def progress(self, spark: SparkSession, rows: int = 5) -> DataFrame:
         """Leading phrases so far, before the global stage."""
-        seen = self.survivors(spark)
-        grouped = seen.groupBy("seqchar").agg(F.first("length").alias("length"), F.sum("freq").alias("freq"), F.avg("sc_index").alias("sc_index"), F.max("knowns").alias("knowns"))
-        return grouped.orderBy(F.desc("knowns"), F.desc("sc_index"), F.asc("seqchar")).limit(rows)
+        return self.miner.progress(self.survivors(spark), rows=rows)
