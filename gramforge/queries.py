@@ -3,7 +3,8 @@
 Every query covers its whole tables. Where n-grams of a whole table are too
 many for the SQL check, the query runs on a smaller table, whole; the same
 operators over all documents are ``get_dfphrase_documents`` and
-``ngram_counts_documents``, which are checked by brute force in the tests.
+``ngram_counts_documents``, which are checked by brute force in the tests. Three
+queries run on a seeded corpus that SQL makes as well, two of them on Japanese.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ PART = PhraseConfig(size_sentence=500, selection=0)
 #: Part names are lower-case words, which the default set calls noise.
 PART_SELECT = PART.but(selection=1, negative={k: p for k, p in negative_patterns().items() if k != "x_smalla"})
 CHAT = PhraseConfig(size_sentence=500)
+JAPANESE = PhraseConfig(size_sentence=500)
 ITEMS = PhraseConfig(min_count=2, size_sentence=None, selection=0)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +134,28 @@ _ITEM_CHAIN = f"WITH {_sents('benchmark', 'item_id', 'text')}, {_batched('item_i
 _TOKENS_SQL = "tokens AS (SELECT seqchar, CAST(length(seqchar) AS INTEGER) AS length, CAST(count(*) AS DOUBLE) AS freq FROM (SELECT unnest(string_split_regex(text, '[ \\n]+')) AS seqchar FROM documents) WHERE seqchar <> '' GROUP BY seqchar)"
 
 
+#: A corpus in which every positive pattern occurs, of few different characters.
+JAPANESE_WORDS = "データ モデル ｶﾀｶﾅ 機械 学習 ＡＢＣＤ Spark NASA の です。 言語 の研究 を 東京 カメラ 速い".split()
+JAPANESE_SENTENCES = 400
+
+
+def _corpus_sql(sentences: int, words: list[str], words_each: int = 12, seed: int = 0) -> str:
+    table = "[" + ", ".join(map(_quote, words)) + "]"
+    return (
+        f"SELECT doc_id, string_agg(word, '' ORDER BY k) AS text FROM (SELECT i AS doc_id, k, {table}[1 + ({sources.draw('i', 'k', seed)}) % {len(words)}] AS word"
+        f" FROM range({sentences}) AS a(i), range(1, {words_each + 1}) AS b(k)) GROUP BY doc_id"
+    )
+
+
+_JAPANESE_CHAIN = f"WITH corpus AS ({_corpus_sql(JAPANESE_SENTENCES, JAPANESE_WORDS)}), {_sents('corpus', 'doc_id', 'text')}, {_batched('doc_id', 500)}, {_grams()}, {_counts()}"
+#: The distance of DuckDB counts bytes: each character becomes one.
+_LETTERS = "".join(sorted(set("".join(JAPANESE_WORDS)) - set("。")))
+_BYTES = "".join(chr(48 + k) for k in range(len(_LETTERS)))
+_JAPANESE_FINAL = _FINAL.replace(
+    "levenshtein(l.seqchar, h.seqchar)", "levenshtein(" + ", ".join(f"translate({side}.seqchar, {_quote(_LETTERS)}, {_quote(_BYTES)})" for side in "lh") + ")"
+)
+
+
 # --- inputs ------------------------------------------------------------------
 
 
@@ -150,6 +174,10 @@ def _item_candidates(spark: SparkSession, d: str) -> DataFrame:
     return m.candidates(m.sentences(_read(spark, d, "benchmark"), "item_id"))
 
 
+def _japanese(spark: SparkSession) -> DataFrame:
+    return sources.random_corpus(spark, JAPANESE_SENTENCES, words=JAPANESE_WORDS)
+
+
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
     """Every distinct white-space-separated token of documents, as a phrase."""
     words = _read(spark, d, "documents").select(F.explode(F.split("text", "[ \n]+")).alias("seqchar")).filter("seqchar <> ''")
@@ -350,11 +378,28 @@ def multi_column_flatten(spark, d):
     return sources.flatten_columns(_read(spark, d, "part"), "p_partkey", ["p_name", "p_brand", "p_type"])
 
 
-@_query()
+@_query(_corpus_sql(50, sources.WORDS))
 def random_corpus(spark, d):
     return sources.random_corpus(spark)
 
 
+@_query(f"{_JAPANESE_CHAIN} SELECT batch_id, seqchar, {', '.join(f'{_flag_sql(p)} AS {n}' for n, p in zip(selection.column_names(positive_patterns()), positive_patterns().values(), strict=True))} FROM counts")
+def positive_flags_japanese(spark, d):
+    """Flags of every n-gram of a Japanese corpus; each is true somewhere."""
+    m = PhraseMiner(JAPANESE)
+    return m.candidates(m.sentences(_japanese(spark))).select("batch_id", "seqchar", *selection.flag_columns(F.col("seqchar"), positive_patterns()))
+
+
+@_query(
+    f"{_JAPANESE_CHAIN}, {_HELD}, kept AS (SELECT * FROM held WHERE {_JUNK_SQL} AND {_selected_sql(JAPANESE)}), {_JAPANESE_FINAL} SELECT seqchar, length, freq, {_SCORE_SQL} AS sc_index,"
+    f" {_label_sql(JAPANESE.positive)} AS match_ptn, round(originality, 6) AS originality FROM original WHERE originality > 0.5 AND {_selected_sql(JAPANESE)}"
+)
+def get_dfphrase_japanese(spark, d):
+    """The default plan over a Japanese corpus."""
+    phrases = PhraseMiner(JAPANESE).transform(_japanese(spark))
+    return _q6(phrases, "sc_index", "originality").select("seqchar", "length", "freq", "sc_index", "match_ptn", "originality")
+
+
 @_query(
     f"{_PART_CHAIN}, kept AS (SELECT * FROM held WHERE {_JUNK_SQL}) SELECT seqchar, length, sum(freq) AS freq, round(avg(ln(1 + freq) + ln(length)), 6) AS sc_index, false AS knowns"
     " FROM kept GROUP BY seqchar, length ORDER BY round(avg(ln(1 + freq) + ln(length)), 9) DESC, seqchar LIMIT 5"

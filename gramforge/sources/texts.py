@@ -37,14 +37,26 @@ def flatten_columns(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.select(F.col(key), cells)
 
 
+#: Modulus of the numbers that draw words; products of two fit 64 bits.
+_PRIME = 2**31 - 1
+
+
+def draw(sentence: str, place: str, seed: int) -> str:
+    """SQL for a pseudo-random number below 2^31 - 1, the same in any engine: twice
+    squared, modulo a prime, from a sentence's number and a place in it."""
+    x = f"(({sentence}) % {_PRIME} * 7919 + ({place}) * 104729 + {(seed * 15485863 + 271828183) % _PRIME}) % {_PRIME}"
+    x = f"(({x}) * ({x}) + ({place}) * 31337 + 1) % {_PRIME}"
+    return f"(({x}) * ({x}) + 3) % {_PRIME}"
+
+
 def random_corpus(spark: SparkSession, sentences: int = 50, words_each: int = 12, words: list[str] | None = None, seed: int = 0) -> DataFrame:
     """(doc_id, text): uniformly drawn words, joined without spaces."""
     words = list(words or WORDS)
     table = F.array(*[F.lit(w) for w in words])
     drawn = (
         spark.range(sentences)
-        .select("id", F.explode(F.sequence(F.lit(1), F.lit(words_each))).alias("k"))
-        .withColumn("word", F.element_at(table, 1 + F.pmod(F.xxhash64(F.lit(seed), "id", "k"), F.lit(len(words))).cast("int")))
+        .select("id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(words_each).cast("bigint"))).alias("k"))
+        .withColumn("word", F.element_at(table, (1 + F.expr(draw("id", "k", seed)) % len(words)).cast("int")))
     )
     ordered = F.array_sort(F.collect_list(F.struct("k", "word")))
     return drawn.groupBy(F.col("id").alias("doc_id")).agg(F.array_join(F.transform(ordered, lambda x: x["word"]), "").alias("text"))

@@ -264,3 +264,93 @@ def test_stream_equals_batches(spark, tmp_path):
     assert miner.progress(spark).count() == 5
     miner.process(texts_df(spark, parts[0]), 0)  # a repeated epoch overwrites itself
     assert {r["seqchar"]: r["freq"] for r in miner.phrases(spark).collect()} == got
+
+
+def test_originality_has_no_nested_loop(spark, monkeypatch):
+    """Also where phrases fill several blocks."""
+    r = random.Random(6)
+    words = list({"".join(r.choice("abcdeアイ") for _ in range(r.randint(1, 9))) for _ in range(150)})
+    df = spark.createDataFrame([(w, len(w), float(r.randint(1, 9))) for w in words], "seqchar string, length int, freq double")
+    ranked = containment.add_rank(df, PhraseConfig(knowns=tuple(words[:3])))
+    whole = {x["seqchar"]: x["originality"] for x in similarity.remove_similar(ranked, 0.2).collect()}
+    monkeypatch.setattr(similarity, "BLOCK", 40)
+    monkeypatch.setattr(similarity, "HEADS", 1)
+    monkeypatch.setattr(similarity, "BROADCAST_ROWS", 0)
+    assert {x["seqchar"]: x["originality"] for x in similarity.remove_similar(ranked, 0.2).collect()} == whole
+    left = ranked.withColumn("_sim", F.lit(0.0))
+    plan = similarity._all_higher(left, ranked)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "HashJoin" in plan
+
+
+def test_bound_is_no_less_than_the_similarity(spark):
+    r = random.Random(2)
+    pairs = [tuple("".join(r.choice("abcde漢字かなカナ") for _ in range(r.randint(1, 12))) for _ in "ab") for _ in range(400)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+
+    def side(c):
+        out = df.select("i", F.col(c).alias("seqchar"), F.length(c).alias("_len"), similarity._characters(F.col(c)).alias("_bits"))
+        return out.withColumn("_extra", F.col("_len") - F.bit_count("_bits")).alias(c)
+
+    joined = side("a").join(side("b"), F.col("a.i") == F.col("b.i"))
+    rows = joined.select(similarity._bound("a", "b").alias("bound"), X.similarity(F.col("a.seqchar"), F.col("b.seqchar")).alias("sim")).collect()
+    assert all(x["bound"] >= x["sim"] - 1e-12 for x in rows) and any(x["bound"] < 0.5 for x in rows)
+
+
+def test_grams_of_half_a_batch(spark):
+    cfg = PhraseConfig(max_length=-2, min_length=1, min_count=1, selection=0, size_sentence=6, threshold_originality=0.0, removes="")
+    texts = ["abcd", "abcd", "xabc", "abcy", "abcd", "zz", "abc", "abc", "q"]  # 6 sentences, then 3
+    m = PhraseMiner(cfg)
+    got = {(x["batch_id"], x["seqchar"], x["freq"]) for x in m.candidates(m.sentences(texts_df(spark, texts))).collect()}
+    expected = set()
+    for b, part in enumerate((texts[:6], texts[6:])):
+        counts = {}
+        for s in part:
+            for n in range(1, len(part) // 2 + 1):
+                for i in range(len(s) - n + 1):
+                    counts[s[i : i + n]] = counts.get(s[i : i + n], 0) + 1
+        expected |= {(b, g, float(n)) for g, n in counts.items() if n > 1}
+    assert got == expected and max(len(g) for _, g, _ in got) == 3
+    assert mined(spark, cfg.but(max_length=-1), texts) == {}
+
+
+def test_verbose_reports_batch_by_batch(spark, caplog):
+    cfg = PhraseConfig(min_count=1, min_length=2, max_length=3, selection=0, size_sentence=2)
+    texts = ["ABAB", "ABAB", "CDCD", "CDCD"]
+    with caplog.at_level("INFO", logger="gramforge"):
+        quiet = mined(spark, cfg, texts)
+        assert not caplog.records
+        assert mined(spark, cfg.but(verbose=1), texts) == quiet
+    lines = [r.getMessage() for r in caplog.records]
+    assert [x for x in lines if x.startswith("batch")] == ["batch 0, so far:", "batch 1, so far:"]
+    assert "CDCD" not in "".join(lines[: lines.index("batch 1, so far:")]) and "CDCD" in "".join(lines)
+    with caplog.at_level("INFO", logger="gramforge"):
+        mined(spark, cfg.but(verbose=1), ["x"])
+    assert caplog.records[-1].getMessage() == "no phrases found"
+
+
+def test_document_queries_against_model(spark, tmp_path):
+    """The queries over all documents, with their own settings, on a small folder."""
+    from gramforge import queries
+
+    r = random.Random(4)
+    words = ["データ", "モデル", "機械", "学習", "の", "です。", "Spark", "NASA", "新しい", "ＡＢＣ", "www.x", "\n"]
+    texts = ["".join(r.choice(words) for _ in range(30)) for _ in range(120)] + [None, "", "短い"]
+    texts_df(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["seqchar"]: (x["freq"], round(x["originality"], 9)) for x in queries.QUERIES["get_dfphrase_documents"](spark, str(tmp_path)).collect()}
+    assert got == mine(queries.CFG, texts) and len(got) > 10
+    counts = {}
+    for s in split(texts):
+        for c in queries.CFG.removes:
+            s = s.replace(c, "")
+        for n in range(queries.CFG.min_length, queries.CFG.longest + 1):
+            for i in range(len(s) - n + 1):
+                counts[s[i : i + n]] = counts.get(s[i : i + n], 0) + 1
+    found = {(x["batch_id"], x["seqchar"], x["length"], x["freq"]) for x in queries.QUERIES["ngram_counts_documents"](spark, str(tmp_path)).collect()}
+    assert found == {(0, g, len(g), float(n)) for g, n in counts.items() if n > queries.CFG.min_count}
+
+
+def test_every_positive_pattern_occurs_in_the_japanese_corpus(spark):
+    from gramforge import queries
+
+    rows = queries.QUERIES["positive_flags_japanese"](spark, "").toPandas()
+    assert all(rows[c].any() and not rows[c].all() for c in rows.columns if c not in ("batch_id", "seqchar"))
