@@ -52,3 +52,14 @@ def test_without_the_training_data_operators(tmp_path):
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'get_dfphrase' in q and not any(n.startswith('op') for n in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, check=True, timeout=300)
+
+
+def test_a_broken_operator_is_an_error(tmp_path):
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    module = copy / "gramforge" / "llm" / "queries.py"
+    if not module.exists():
+        pytest.skip("the operators are not there")
+    module.write_text("import a_module_that_is_missing\n")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, timeout=300)
+    assert done.returncode and b"a_module_that_is_missing" in done.stderr
