@@ -1,14 +1,19 @@
 """Exact deduplication by distributed MSD radix partitioning.
 
-Texts are split by their leading bytes, groups that hold one document leave at
-once, and the rest is split again by the bytes that follow, until a group is a
+Texts are taken as their length followed by their bytes. They are split by length
+and leading bytes, groups that hold one document leave at once, and the rest is
+split again by the bytes that follow, until a group is a
 single document or its texts have ended. Two documents are declared equal only
 when every byte of both has been compared, digit by digit: no digest decides.
 
 The digit grows geometrically (``FIRST_DIGIT`` bytes, then ``GROWTH`` times as
 many), so a text of n bytes takes O(log n) rounds, and each round moves only
 the documents that still share all bytes so far with another one, without the
-bytes already compared. Round one moves only digits and counts, never texts.
+bytes already compared. Round one moves only lengths, digits and counts, never
+texts. While the first digits that several documents share fit ``BROADCAST_BYTES``
+(some 4 million), they are sent to the texts, and only texts that share one move;
+beyond, texts and digits are shuffled once by digit, which adaptive execution
+splits where one digit is common.
 
 Defined results
 ---------------
@@ -39,10 +44,9 @@ BROADCAST_BYTES = 64 << 20
 
 
 def _first_cell(raw: Column) -> Column:
-    """Hash of a text's first digit; null for a null text. Only tells texts that
-    share no first digit apart: cells are split by the digits themselves."""
-    digit, ended = F.substring(raw, 1, FIRST_DIGIT), F.octet_length(raw) <= FIRST_DIGIT
-    return F.when(raw.isNotNull(), F.xxhash64(digit, ended))
+    """Hash of a text's length and first digit; null for a null text. Only tells texts
+    that do not share them apart: cells are split by the digits themselves."""
+    return F.when(raw.isNotNull(), F.xxhash64(F.substring(raw, 1, FIRST_DIGIT), F.octet_length(raw)))
 
 
 def _partition(docs: DataFrame, id_col: str, text_col: str, keep_rows: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -53,10 +57,10 @@ def _partition(docs: DataFrame, id_col: str, text_col: str, keep_rows: bool) ->
     """
     raw = F.encode(named(docs, text_col), "UTF-8")
     heads = docs.filter(raw.isNotNull()).select(
-        F.substring(raw, 1, FIRST_DIGIT).alias("_gf_digit"), (F.octet_length(raw) <= FIRST_DIGIT).alias("_gf_ended")
+        F.substring(raw, 1, FIRST_DIGIT).alias("_gf_digit"), F.octet_length(raw).alias("_gf_size")
     )
-    several = heads.groupBy("_gf_digit", "_gf_ended").agg(F.count(F.lit(1)).alias("_gf_n")).filter("_gf_n > 1")
-    cells = cut(several.select(F.xxhash64("_gf_digit", "_gf_ended").alias("_gf_cell")))
+    several = heads.groupBy("_gf_digit", "_gf_size").agg(F.count(F.lit(1)).alias("_gf_n")).filter("_gf_n > 1")
+    cells = cut(several.select(F.xxhash64("_gf_digit", "_gf_size").alias("_gf_cell")))
     shared = broadcast_upto(cells, BROADCAST_BYTES // 16)
     source = docs.select(
         named(docs, id_col).alias("_gf_id"),
@@ -82,8 +86,8 @@ def _partition(docs: DataFrame, id_col: str, text_col: str, keep_rows: bool) ->
         )
 
     width = FIRST_DIGIT
-    contending = digits(state, text, width)
-    by = ["_gf_digit", "_gf_ended"]
+    contending = digits(state.withColumn("_gf_size", F.octet_length(text)), text, width, "_gf_size")
+    by = ["_gf_size", "_gf_digit", "_gf_ended"]
     duplicates: DataFrame | None = None
     while True:
         groups = cut(
