@@ -42,8 +42,9 @@ from .common import cut, named
 #: Tokens of a window, and of a shard that is balanced as a whole.
 CAPACITY = 2048
 SHARD_TOKENS = 400_000
-#: Shards of a task, on average.
+#: Shards of a task, on average, and tasks at most (beyond, tasks get more shards).
 TASK_SHARDS = 8
+TASKS = 20_000
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -158,7 +159,7 @@ def pack_windows(
         return pa.table([ids, *(pa.array(c, pa.int64()) for c in columns)], names=["_gf_id", "begin", "tokens", "shard", "window"])
 
     # Few bytes and much work: tasks by shards, not by the bytes that they read.
-    dealt = dealt.repartition(-(-shards // TASK_SHARDS), "_gf_shard")
+    dealt = dealt.repartition(min(TASKS, -(-shards // TASK_SHARDS)), "_gf_shard")
     schema = StructType([alike.schema["_gf_id"], *(StructField(c, LongType()) for c in ("begin", "tokens", "shard", "window"))])
     return dealt.groupBy("_gf_shard").applyInArrow(work, schema).withColumnRenamed("_gf_id", id_col)
 
