@@ -54,11 +54,13 @@ def test_ids_of_other_types_and_large_ids(spark, words):
     assert pairs(op.exact_duplicates(df)) == {(big + 1, big), (None, big)}
 
 
-def test_without_broadcasts(docs, words, monkeypatch):
+def test_without_broadcasts(spark, docs, words, monkeypatch):
     """Beyond the bounds, with sides that are shuffled."""
     monkeypatch.setattr(op, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     head = "a common beginning of more than sixty-four bytes, like a document type "
     rows = [(i, head + words(i // 3, 40)) for i in range(60)] + [(100 + i, words(i // 2, 40)) for i in range(20)]
     assert pairs(op.exact_duplicates(docs(rows))) == op.brute_force(rows)
     gone = {i for i, _ in op.brute_force(rows)}
     assert sorted(r["doc_id"] for r in op.drop_exact_duplicates(docs(rows)).collect()) == sorted(i for i, _ in rows if i not in gone)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

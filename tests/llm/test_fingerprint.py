@@ -127,3 +127,16 @@ def test_ids_of_other_types_and_large_ids(spark, words):
     big = 2**53
     df = spark.createDataFrame([(big + 1, base), (big + 2, base), (None, base)], "doc_id bigint, text string")
     assert {(r["doc_id"], r["class_doc_id"]) for r in op.fingerprint_classes(df).collect()} == {(big + 1, big + 1), (big + 2, big + 1), (None, None)}
+
+
+def test_without_broadcasts(spark, docs, words, monkeypatch):
+    """Beyond the bounds, with sides that are shuffled."""
+    monkeypatch.setattr(op, "BROADCAST_DIGESTS", 0)
+    base = words(1, 400)
+    rows = [(1, base), (2, base.replace(base.split()[7], "changed", 1)), (3, words(2, 400)), (4, base), (None, base)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = op.fingerprint_classes(docs(rows)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r["doc_id"], r["class_doc_id"], r["links"]) for r in got} == {(1, 1, 2), (2, 1, 2), (3, 3, 0), (4, 1, 2), (None, None, None)}
