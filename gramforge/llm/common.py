@@ -24,7 +24,7 @@ from pyspark.sql.types import StructField, StructType
 #: Characters of text that a Python worker unpacks at once. Only a memory
 #: bound for the batches: every row of every batch is processed, and a text
 #: longer than this is processed whole, alone.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -91,7 +91,7 @@ class CrfModel:
 
 
 class _Emission(dict):
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __init__(self, model: CrfModel):
         super().__init__()
