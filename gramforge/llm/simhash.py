@@ -3,22 +3,21 @@
 1. Fingerprint: 128 bits, each the majority vote of one bit of the hashes of a
    document's distinct words and distinct word pairs (case and punctuation
    apart). Equal fingerprints collapse to one node at once.
-2. Cells: a node enters one cell per mask of b fixed bit positions (a masked bit
-   says which of two reference fingerprints that differ in it alone is nearer).
-   b follows from the number of nodes, so that a cell has about ``CELL`` of them
-   at any size of the corpus, and the number of masks from b, so that a pair at
-   the threshold shares a cell with probability ``RECALL``, a nearer one with
-   more. Up to ``CELL`` nodes are one cell, and the search is exact.
-3. Pivot distance tables: within a cell, each node has its Hamming distances to
-   ``PIVOTS`` reference fingerprints, members of the cell. Nodes are sorted by
-   the coordinate that varies most and meet only nodes within the threshold of
-   them there; pairs whose greatest coordinate difference exceeds the threshold
-   are discarded by the triangle inequality, survivors are verified bit by bit.
-   A cell of more than ``BLOCK`` nodes is split into blocks that meet two by two
-   in different tasks: every pair of a cell is looked at, whatever its size.
-4. A pair counts in the first cell that it shares. A task does not emit pairs
-   but what they add up to: how many documents each node is near to, and edges
-   that span the groups it sees.
+2. Blocks: nodes are dealt into blocks by hash, and blocks meet two by two in
+   tasks of their own, so that every pair of nodes meets in exactly one task.
+   There is no sampling: every pair within the threshold is found, at any size.
+   A block has up to ``BLOCK`` nodes, so copies of a node grow as nodes / BLOCK,
+   and the work with the square of the nodes.
+3. Within a task, small sides are compared whole: nodes are sorted by the
+   coordinate that varies most of their distances to ``PIVOTS`` reference
+   fingerprints, and meet only nodes within the threshold of them there (the
+   triangle inequality); these are verified bit by bit. Large sides are first
+   cut down by parts: of threshold + 1 disjoint parts of the bits, a pair within
+   the threshold agrees in one at least, so of parts joined ``n`` by ``n`` it has
+   one in which at most n - 1 bits differ. Only nodes with such a part are
+   compared; a pair counts in the first such part.
+4. A task does not emit pairs but what they add up to: how many documents each
+   node is near to, and edges that span the groups it sees.
 5. Groups: connected components over the edges (alternating large-star and
    small-star rounds), all distributed; the least id of a group stays.
 
@@ -37,6 +36,7 @@ Defined results
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -45,27 +45,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import add_up, components, cut, edges_and_links, named, row_count, slices, split_crowded, whole_tasks, without
 
 BITS = 128
 #: Pairs within this Hamming distance are near duplicates.
 THRESHOLD = 26
-#: Probability that a pair at the threshold shares a cell.
+#: Probability, at the threshold, of agreement in one part that tests ask of ``layout``. The search itself is exact.
 RECALL = 0.97
-#: Nodes of a cell, on average, and of a block that one task compares whole.
+#: Nodes that are always compared whole.
 CELL = 512
-BLOCK = 16_384
+#: Nodes of a block at most. Fewer where that gives too few tasks: ``BLOCKS`` blocks, but of ``LEAST_BLOCK`` nodes or more.
+BLOCK = 262_144
+BLOCKS = 8
+LEAST_BLOCK = 8_192
 #: Reference fingerprints of a pivot table.
 PIVOTS = 16
-#: Pairs that are compared at once, and rows of cells that are held at once.
+#: Pairs that are compared at once, pairs that are handed on at once, and rows of tasks that are held at once.
 PAIRS = 1 << 17
+HANDED = 1 << 18
 BUFFER = 1 << 18
+#: What a lookup of one value of a part costs, in pairs compared.
+LOOKUP_PAIRS = 15_000
 #: Identifiers up to this number are sent to the texts, not the texts to them.
 BROADCAST_IDS = 4_000_000
-#: Blocked cells up to this number are broadcast.
-BROADCAST_CELLS = 500_000
 
 #: Characters hashed at once.
 _PART = 1 << 18
@@ -192,78 +196,108 @@ def agreement(bits: int, distance: int) -> float:
     return math.prod(max(0, BITS - distance - i) / (BITS - i) for i in range(bits))
 
 
-def layout(nodes: int, threshold: int = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
-    """(bits of a mask, masks) for so many nodes."""
-    bits = max(0, math.ceil(math.log2(max(1, nodes) / CELL)))
-    share = agreement(bits, threshold)
-    if share <= 0:
-        raise ValueError(f"no {bits} positions can agree at distance {threshold}")
-    return bits, 1 if share >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - share)))
+def layout(nodes: int, threshold: int = THRESHOLD) -> tuple[int, int]:
+    """(least bits of a part, disjoint parts): more parts than bits may differ, so
+    that near pairs agree in one. Up to ``CELL`` nodes have one part of no bits."""
+    parts = min(BITS, max(threshold, THRESHOLD) + 1) if nodes > CELL else 1
+    return (BITS // parts if parts > 1 else 0), parts
 
 
-def _masks(bits: int, tables: int) -> np.ndarray:
-    rng = np.random.default_rng(20240229)
-    masks = np.zeros((tables, 2), dtype=np.uint64)
-    for row in masks:
-        for bit in rng.choice(BITS, bits, replace=False):
-            row[bit // 64] |= np.uint64(1) << np.uint64(bit % 64)
-    return masks
+def _positions(bits: int, parts: int) -> list[np.ndarray]:
+    """Bit positions of the parts; all positions, each in one part."""
+    places = np.random.default_rng(20240229).permutation(BITS) if bits else np.zeros(0, np.int64)
+    return np.array_split(places, parts)
 
 
-def _cell_keys(fp: np.ndarray, masks: np.ndarray, table: int) -> np.ndarray:
-    own = fp & masks[table]
-    return _scramble(_scramble(own[:, 0] * _MULTIPLIER + np.uint64(table)) ^ own[:, 1] * np.uint64(_BASE)).view(np.int64)
+def _mask(places: np.ndarray) -> np.ndarray:
+    out = np.zeros(2, dtype=np.uint64)
+    for bit in places:
+        out[bit // 64] |= np.uint64(1) << np.uint64(bit % 64)
+    return out
+
+
+def _masks(bits: int, parts: int) -> np.ndarray:
+    return np.stack([_mask(places) for places in _positions(bits, parts)])
+
+
+def _joined(parts: list[np.ndarray], n: int) -> list[tuple[np.ndarray, int]]:
+    """(positions, bits of them that may differ) of parts joined n by n: a pair that
+    agrees in one of ``parts`` is within the bound in the part that holds it."""
+    return [(np.concatenate(parts[k : k + n]), len(parts[k : k + n]) - 1) for k in range(0, len(parts), n)]
+
+
+def _plan(left: int, right: int, threshold: int) -> list[tuple[np.ndarray, int]]:
+    """The joined parts to look for pairs by, of the least estimated cost; none
+    where comparing all pairs costs less."""
+    bits, parts = layout(max(left, right), threshold)
+    best, least = [], float(left * right)
+    if parts > threshold and bits:
+        for n in (2, 3):
+            joined = _joined(_positions(bits, parts), n)
+            if max(len(places) for places, _ in joined) <= 20:
+                share = sum(sum(math.comb(len(places), k) for k in range(most + 1)) / 2 ** len(places) for places, most in joined)
+                cost = share * left * right + LOOKUP_PAIRS * sum(min(left, 2 ** len(places)) for places, _ in joined)
+                if cost < least:
+                    best, least = joined, cost
+    return best
 
 
 def _words(batch: pa.RecordBatch, at: int) -> np.ndarray:
     return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (at, at + 1)], axis=1).view(np.uint64)
 
 
-def _count_cells(masks: np.ndarray):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                fp = _words(batch, 0)
-                key, n = np.unique(np.concatenate([_cell_keys(fp, masks, t) for t in range(len(masks))]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["_gf_key", "_gf_size"])
+def _true(near: np.ndarray) -> np.ndarray:
+    """``flatnonzero``, fast where few are true."""
+    octets = np.packbits(near.reshape(-1))
+    at = np.flatnonzero(octets)
+    k, bit = np.nonzero(np.unpackbits(octets[at][:, None], axis=1))
+    return at[k] * 8 + bit
 
-    return work
 
+def _distances(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+    out = np.bitwise_count(a0[:, None] ^ b0[None])
+    out += np.bitwise_count(a1[:, None] ^ b1[None])
+    return out
 
-def _enter_cells(masks: np.ndarray):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                fp = _words(batch, 1)
-                for t in range(len(masks)):
-                    table = pa.array(np.full(batch.num_rows, t, dtype=np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(_cell_keys(fp, masks, t)), table, *batch.columns], names=["_gf_key", "_gf_table", *batch.schema.names])
 
-    return work
+def _many(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs, ``HANDED`` or more at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for a, b in pairs:
+        held.append((a, b))
+        size += len(a)
+        if size >= HANDED:
+            yield np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
+            held, size = [], 0
+    if held:
+        yield np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
 
 
 def _pivot_table(fp: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Distances to ``PIVOTS`` of the cell's members, [PIVOTS, n], the coordinate
+    """Distances to ``PIVOTS`` of the task's nodes, [PIVOTS, n], the coordinate
     that varies most first; small numbers, as bytes."""
     at = rows[np.linspace(0, len(rows) - 1, min(PIVOTS, len(rows))).astype(np.int64)]
     table = np.bitwise_count(fp[None, :, 0] ^ fp[at, 0][:, None]) + np.bitwise_count(fp[None, :, 1] ^ fp[at, 1][:, None])
     return table[np.argsort(-table.var(axis=1), kind="stable")]
 
 
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that meet: all of a task with themselves, or those of its two blocks."""
+    return (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side[0] < 2 else (np.arange(len(side)),) * 2
+
+
 def _compare(fp: np.ndarray, side: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Verified pairs of a task's nodes, by index: all of them, or, of a task that
     holds two blocks (sides 0 and 1), those of one side with the other."""
-    rows = np.arange(len(fp))
-    table = _pivot_table(fp, rows)
-    left, right = (rows[side == 0], rows[side == 1]) if side[0] < 2 else (rows, rows)
+    left, right = _sides(side)
     if not len(left) or not len(right):
         return
-    left, right = left[np.argsort(table[0, left], kind="stable")], right[np.argsort(table[0, right], kind="stable")]
-    # Counters wrap around: a distance between -threshold and threshold is one of 0..2*threshold.
-    near_left, near_right, width = table.take(left, axis=1) + np.uint8(threshold), table.take(right, axis=1), np.uint8(2 * threshold)
-    leading = near_right[0].astype(np.int64)
-    low = np.searchsorted(leading, table[0, left].astype(np.int64) - threshold, side="left")
-    high = np.searchsorted(leading, table[0, left].astype(np.int64) + threshold, side="right")
+    # Verifying a pair costs less than its other coordinates would.
+    pivot = _pivot_table(fp, np.arange(len(fp)))[0].astype(np.int64)
+    left, right = left[np.argsort(pivot[left], kind="stable")], right[np.argsort(pivot[right], kind="stable")]
+    low = np.searchsorted(pivot[right], pivot[left] - threshold, side="left")
+    high = np.searchsorted(pivot[right], pivot[left] + threshold, side="right")
     (a0, a1), (b0, b1) = fp[left].T.copy(), fp[right].T.copy()
     same = side[0] == 2
     begin = 0
@@ -275,13 +309,8 @@ def _compare(fp: np.ndarray, side: np.ndarray, threshold: int) -> Iterator[tuple
             end = begin + (end - begin) // 2
         until = int(high[end - 1])
         if until > first:
-            near = np.ones((end - begin, until - first), dtype=bool)
-            for mine, other in zip(near_left[:, begin:end], near_right[:, first:until], strict=True):
-                near &= (mine[:, None] - other[None, :]) <= width
-            distance = np.bitwise_count(a0[begin:end, None] ^ b0[None, first:until])
-            distance += np.bitwise_count(a1[begin:end, None] ^ b1[None, first:until])
-            near &= distance <= np.uint8(threshold)
-            i, j = np.divmod(np.flatnonzero(near), until - first)
+            distance = _distances(a0[begin:end], a1[begin:end], b0[first:until], b1[first:until])
+            i, j = np.divmod(_true(distance <= threshold), until - first)
             i, j = i + begin, j + first
             if same:
                 i, j = i[i < j], j[i < j]
@@ -290,35 +319,82 @@ def _compare(fp: np.ndarray, side: np.ndarray, threshold: int) -> Iterator[tuple
         begin = end
 
 
-def _first_shared(differ: np.ndarray, masks: np.ndarray, table: int) -> np.ndarray:
-    """Which differences of pairs are masked out by no mask before ``table``."""
-    at = np.arange(len(differ))
-    for m in masks[:table]:
-        at = at[((differ[at] & m) != 0).any(axis=1)]
-    return at
+def _values(fp: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The bits at ``places`` as small numbers."""
+    out = np.zeros(len(fp), dtype=np.int64)
+    for k, bit in enumerate(places.tolist()):
+        out |= (fp[:, bit // 64] >> np.uint64(bit % 64) & np.uint64(1)).astype(np.int64) << k
+    return out
 
 
-def _new_pairs(fp: np.ndarray, side: np.ndarray, table: int, masks: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Verified pairs of a task that share no cell of an earlier mask."""
-    for a, b in _compare(fp, side, threshold):
-        new = _first_shared(fp[a] ^ fp[b], masks, table)
-        yield a[new], b[new]
-
-
-def _tasks(masks: np.ndarray, threshold: int):
-    """From rows sorted by task: the edges and links of its nodes."""
+def _compare_by_parts(fp: np.ndarray, side: np.ndarray, threshold: int, plan: list[tuple[np.ndarray, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The same pairs, with the part of ``plan`` in which they differ little: once
+    for each such part."""
+    same = side[0] == 2
+    for part, (places, most) in enumerate(plan):
+        left, right = _sides(side)
+        own, other = _values(fp[left], places), _values(fp[right], places)
+        by, to = np.argsort(own, kind="stable"), np.argsort(other, kind="stable")
+        left, right = left[by], right[to]
+        every = np.arange(1 << len(places))
+        begins, ends = np.searchsorted(own[by], every), np.searchsorted(own[by], every, side="right")
+        first = np.searchsorted(other[to], every)
+        count = np.searchsorted(other[to], every, side="right") - first
+        near = every[np.bitwise_count(every) <= most]
+        (a0, a1), (b0, b1) = fp[left].T.copy(), fp[right].T.copy()
+        for value in np.flatnonzero(ends > begins).tolist():
+            met = value ^ near
+            if same:
+                met = met[met >= value]
+            n = count[met]
+            total = int(n.sum())
+            at = np.repeat(first[met] - np.cumsum(n) + n, n) + np.arange(total)
+            c0, c1 = b0[at], b1[at]
+            step = max(1, PAIRS // max(1, total))
+            for begin in range(int(begins[value]), int(ends[value]) if total else 0, step):
+                end = min(int(ends[value]), begin + step)
+                distance = _distances(a0[begin:end], a1[begin:end], c0, c1)
+                if distance.min() > threshold:
+                    continue
+                i, j = np.divmod(_true(distance <= threshold), total)
+                i, j = i + begin, at[j]
+                if same:
+                    i, j = i[i < j], j[i < j]
+                yield part, left[i], right[j]
+
+
+def _new_pairs(fp: np.ndarray, side: np.ndarray, threshold: int, plan: list[tuple[np.ndarray, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Those in the first part that holds them."""
+    masks = [_mask(places) for places, _ in plan]
+    for part, found in itertools.groupby(_compare_by_parts(fp, side, threshold, plan), key=lambda x: x[0]):
+        for a, b in _many((a, b) for _, a, b in found):
+            differ, new = fp[a] ^ fp[b], np.ones(len(a), dtype=bool)
+            for mask, (_, most) in zip(masks[:part], plan, strict=False):
+                new &= np.bitwise_count(differ & mask).sum(axis=1) > most
+            yield a[new], b[new]
+
+
+def _near_pairs(fp: np.ndarray, side: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of a task's nodes within the threshold, once; many at a time."""
+    plan = _plan(*map(len, _sides(side)), threshold)
+    yield from _many(_new_pairs(fp, side, threshold, plan) if plan else _compare(fp, side, threshold))
+
+
+def _tasks(threshold: int):
+    """From rows (key, side, id, fingerprint, rows) sorted by task: the edges and
+    links of its nodes."""
 
     def finish(whole: pa.Table) -> Iterator[pa.RecordBatch]:
         key = whole.column(0).to_numpy()
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         ends = np.r_[starts[1:], len(key)]
-        table, side, rows = (whole.column(c).to_numpy() for c in (1, 2, 6))
-        fp = _words(whole, 4)
+        side, rows = (whole.column(c).to_numpy() for c in (1, 5))
+        fp = _words(whole, 3)
         links, root = np.zeros(len(key), dtype=np.int64), np.arange(len(key))
         for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-            links[s:e], own = add_up(_new_pairs(fp[s:e], side[s:e], int(table[s]), masks, threshold), rows[s:e])
+            links[s:e], own = add_up(_near_pairs(fp[s:e], side[s:e], threshold), rows[s:e])
             root[s:e] = s + own
-        yield edges_and_links(whole.column(3).combine_chunks(), links, root)
+        yield edges_and_links(whole.column(2).combine_chunks(), links, root)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in whole_tasks(batches, BUFFER):
@@ -330,14 +406,15 @@ def _tasks(masks: np.ndarray, threshold: int):
 def _neighbours(nodes: DataFrame, threshold: int) -> DataFrame:
     """(_gf_a, _gf_b, _gf_links): edges (links null) that span the groups of
     nodes within the threshold, and links of nodes (_gf_b null)."""
-    bits, tables = layout(row_count(nodes), threshold)
-    masks = _masks(bits, tables)
-    sizes = nodes.select("_gf_f0", "_gf_f1").mapInArrow(_count_cells(masks), "_gf_key bigint, _gf_size bigint").groupBy("_gf_key").agg(F.sum("_gf_size").alias("_gf_size"))
-    schema = StructType([StructField("_gf_key", LongType()), StructField("_gf_table", IntegerType()), *nodes.schema.fields])
-    cells = split_crowded(nodes.mapInArrow(_enter_cells(masks), schema), sizes, BLOCK, BROADCAST_CELLS, "_gf_f0", "_gf_f1")
-    cells = cells.select("_gf_key", "_gf_table", "_gf_side", *nodes.columns).repartition("_gf_key").sortWithinPartitions("_gf_key")
+    count = row_count(nodes)
+    blocks = max(-(-count // BLOCK), min(BLOCKS, -(-count // LEAST_BLOCK)), 1)
+    every = nodes.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("_gf_key"), F.lit(count).cast("bigint").alias("_gf_size"))
+    cells = split_crowded(nodes.withColumn("_gf_key", F.lit(0).cast("bigint")), every, max(1, -(-count // blocks)), 1, "_gf_f0", "_gf_f1")
+    # Tasks are few and long: as many partitions as planned, not as the bytes suggest.
+    partitions = min(20_000, blocks * (blocks + 1))
+    cells = cells.select("_gf_key", "_gf_side", *nodes.columns).repartition(partitions, "_gf_key").sortWithinPartitions("_gf_key")
     kind = nodes.schema["_gf_id"].dataType
-    return cells.mapInArrow(_tasks(masks, threshold), StructType([StructField("_gf_a", kind), StructField("_gf_b", kind), StructField("_gf_links", LongType())]))
+    return cells.mapInArrow(_tasks(threshold), StructType([StructField("_gf_a", kind), StructField("_gf_b", kind), StructField("_gf_links", LongType())]))
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:

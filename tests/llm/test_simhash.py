@@ -199,3 +199,44 @@ def test_without_broadcasts(spark, docs, words, monkeypatch):
         assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "4", "None"]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def rigid(nodes, pairs, seed=4):
+    """Unrelated fingerprints, and pairs at exactly the threshold."""
+    r = np.random.default_rng(seed)
+    fp = r.integers(0, 2**64, size=(nodes, 2), dtype=np.uint64)
+    flips = np.argsort(r.random((pairs, op.BITS)), axis=1) < op.THRESHOLD
+    return np.concatenate([fp, fp[:pairs] ^ np.packbits(flips, axis=1).view(np.uint64)])
+
+
+def test_no_pair_at_the_threshold_is_left_out(spark, monkeypatch):
+    """Every one of 3,000 pairs, where cells of agreeing bits lost some 3 %."""
+    fp = rigid(6000, 3000)
+    nodes = spark.createDataFrame([(i, a, b, 1) for i, (a, b) in enumerate(fp.view(np.int64).tolist())], "_gf_id bigint, _gf_f0 bigint, _gf_f1 bigint, _gf_rows bigint")
+    monkeypatch.setattr(op, "LEAST_BLOCK", 2_000, raising=False)
+    rows = op._neighbours(nodes, op.THRESHOLD).collect()
+    edges = {frozenset((r["_gf_a"], r["_gf_b"])) for r in rows if r["_gf_b"] is not None}
+    assert edges == {frozenset((i, 6000 + i)) for i in range(3000)}
+    assert sum(r["_gf_links"] or 0 for r in rows) == 6000
+
+
+def test_parts_lose_nothing():
+    """Parts joined two by two and three by three against all pairs, at several thresholds."""
+    fp = np.concatenate([rigid(700, 300), rigid(200, 200, 5) ^ np.uint64(7)])
+    distance = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2)
+    two = np.arange(len(fp)) % 2
+    for threshold in (3, op.THRESHOLD, 40):
+        parts = op._positions(*op.layout(len(fp), threshold))
+        assert len(parts) > threshold and sorted(np.concatenate(parts)) == list(range(op.BITS))
+        for side, expected in ((np.full(len(fp), 2), np.triu(distance <= threshold, 1)), (two, (distance <= threshold) & (two[:, None] == 0) & (two[None] == 1))):
+            for n in (2, 3):
+                got = np.zeros(distance.shape, dtype=int)
+                for a, b in op._new_pairs(fp, side, threshold, op._joined(parts, n)):
+                    a, b = (np.minimum(a, b), np.maximum(a, b)) if side[0] == 2 else (a, b)
+                    np.add.at(got, (a, b), 1)
+                assert (got == expected).all()
+
+
+def test_large_sides_go_by_parts():
+    assert not op._plan(5_000, 5_000, op.THRESHOLD) and op._plan(op.BLOCK, op.BLOCK, op.THRESHOLD)
+    assert not op._plan(op.BLOCK, op.BLOCK, op.BITS)
