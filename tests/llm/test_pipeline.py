@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -95,3 +96,23 @@ def test_empty_documents(spark, docs, tmp_path):
     docs([]).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_no_near_copy_is_left_in(spark, docs, words, monkeypatch):
+    """Copies at all distances up to the threshold, of more documents than a cell holds."""
+    monkeypatch.setattr(simhash, "CELL", 20)
+    rows, fps = [], {}
+    for k in range(700):
+        text = words(20_000 + k, 60).split()
+        for j in range(2):
+            edited = [f"e{k}x{i}" if j and i < 9 else w for i, w in enumerate(text)]
+            rows.append((2 * k + j, " ".join(edited)))
+            fps[2 * k + j] = simhash.fingerprint(rows[-1][1])
+    f = np.array([fps[i] for i, _ in rows], dtype=np.uint64)
+    near = np.bitwise_count(f[:, None] ^ f[None]).sum(axis=2) <= simhash.THRESHOLD
+    root = np.arange(len(f))
+    while (low := np.where(near, root[None], len(f)).min(axis=1)).tolist() != root.tolist():
+        root = low
+    kept = corpus_pipeline.drop_near(spark, docs(rows), "")
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == np.flatnonzero(root == np.arange(len(f))).tolist()
+    assert 100 < (root != np.arange(len(f))).sum() < 700
