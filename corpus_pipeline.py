@@ -20,13 +20,19 @@ Defined results
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from gramforge.llm import exact_dedup, mixing, packing, simhash, toxicity
 from gramforge.llm.common import delete_folder, ensure_checkpoint_dir, read
 
+#: Rows of an Arrow batch, which executor and Python worker hold whole, the former
+#: outside its heap: at the default of 10,000 rows some 20 MB of text and more.
+BATCH_ROWS = 1_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
@@ -48,10 +54,22 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_windows(docs)
 
 
+def _small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with texts going to and from Python ``BATCH_ROWS`` rows at a time, which stays set in the session."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
+    ("toxicity", _small_batches(drop_toxic)),
     ("exact_dedup", drop_exact),
-    ("simhash_near_dedup", drop_near),
+    ("simhash_near_dedup", _small_batches(drop_near)),
     ("mixing", mix_sources),
     ("packing", pack),
 ]

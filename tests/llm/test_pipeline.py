@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -116,3 +117,14 @@ def test_no_near_copy_is_left_in(spark, docs, words, monkeypatch):
     kept = corpus_pipeline.drop_near(spark, docs(rows), "")
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == np.flatnonzero(root == np.arange(len(f))).tolist()
     assert 100 < (root != np.arange(len(f))).sum() < 700
+
+
+def test_texts_go_to_python_in_small_batches(spark, folder):
+    d, _, _ = folder
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for name in ("toxicity", "simhash_near_dedup"):
+        spark.conf.unset(setting)
+        dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(f"{d}/documents.parquet"), d)
+        sizes = spark.range(0, 4_000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n bigint")
+        assert max(r["n"] for r in sizes.collect()) <= corpus_pipeline.BATCH_ROWS
+    spark.conf.unset(setting)
