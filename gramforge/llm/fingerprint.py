@@ -10,12 +10,11 @@ digests; the difference score adds up quartile steps (3 apart counts 6) and
 The query digests every document and scores documents against each other. It
 returns one row for each document with the number of others within ``NEAR`` (its
 links) and its class, the documents that links connect, named by the least id.
-Documents with one digest are one node of the search. Of distinct digests, those
-that agree in ``BAND_BITS`` fixed positions of the 128 bits "count above the
-median" share a cell, of ``TABLES`` such choices of positions; all pairs of a cell
-are scored, and a pair counts in the first cell it shares. Pairs that share no
-cell are missed: a pair that differs in h of the 128 bits is found with probability
-about 1-(1-(1-h/128)^BAND_BITS)^TABLES. A cell of more than ``BLOCK`` members is
+Documents with one digest are one node of the search. The search is exact: the
+buckets are dealt into ``TABLES`` parts, one more than the buckets that may differ
+within ``NEAR``, so that a pair within it has equal quartiles in one part at least.
+Digests that agree in a part share a cell; all pairs of a cell are scored, and a
+pair counts in the first cell it shares. A cell of more than ``BLOCK`` members is
 split into blocks that meet two by two in different tasks: all its pairs are scored.
 
 As an extra, every document is scored against every benchmark item, reporting
@@ -50,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import add_up, broadcast_upto, components, cut, edges_and_links, named, slices, split_crowded, whole_tasks
+from .common import add_up, broadcast_upto, components, cut, edges_and_links, named, slices, split_crowded, true_places as _true, whole_tasks
 
 BUCKETS = 128
 LENGTH_STEP = 2
@@ -59,13 +58,14 @@ MAX_SCORE = 255
 #: passes. And cells of the score table that a task computes at once.
 PASS_REFERENCES = 50_000
 CELLS = 2_000_000
+#: Pairs of a cell compared at once.
+PAIRS = 1 << 17
 #: Documents within this difference score are reported as a pair.
 NEAR = 16
-#: Positions per choice and number of choices.
-BAND_BITS = 30
-TABLES = 20
+#: Parts of the buckets: more than buckets that may differ (each costs 1 or more).
+TABLES = NEAR + 1
 #: Cells up to this size compare their pairs together with other cells'.
-SMALL_CELL = 256
+SMALL_CELL = 64
 #: Members of a block of a crowded cell, and rows of cells that are held at once.
 BLOCK = 16_384
 BUFFER = 1 << 17
@@ -230,28 +230,29 @@ def _bit_scores(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) ->
     return np.minimum(MAX_SCORE, steps + (_COST[0, 3] - 3).astype(np.int64) * far + LENGTH_STEP * gap)
 
 
-def _positions() -> np.ndarray:
-    rng = np.random.default_rng(20240301)
-    return np.stack([rng.choice(BUCKETS, BAND_BITS, replace=False) for _ in range(TABLES)])
+def _positions() -> list[np.ndarray]:
+    """Buckets of each part."""
+    return np.array_split(np.random.default_rng(20240301).permutation(BUCKETS), TABLES)
 
 
 def cell_keys(q: np.ndarray) -> np.ndarray:
     """Cell of each digest in each table, [n, TABLES]; the table in the low byte."""
-    above = (q >= 2).astype(np.int64)
-    weights = np.int64(1) << np.arange(8, 8 + BAND_BITS, dtype=np.int64)
-    return np.stack([above[:, p] @ weights + t for t, p in enumerate(_positions())], axis=1)
+    return np.stack([(q[:, p].astype(np.int64) << np.arange(8, 8 + 2 * len(p), 2, dtype=np.int64)).sum(axis=1) + t for t, p in enumerate(_positions())], axis=1)
 
 
 def _cell_pairs(bits: np.ndarray, length: np.ndarray, near: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs a < b of a cell's members within ``near``."""
     n = len(bits)
-    step = max(1, CELLS // n)
-    above, below = np.ascontiguousarray(bits[:, 0]), np.ascontiguousarray(bits[:, 1])
+    step = max(1, PAIRS // n)
+    words = np.ascontiguousarray(bits.T)
     for at in range(0, n - 1, step):
-        # Differing bits of one kind bound the score from below.
-        low = np.bitwise_count(above[at : at + step, None] ^ above[None, at + 1 :])
-        low += np.bitwise_count(below[at : at + step, None] ^ below[None, at + 1 :])
-        a, b = np.divmod(np.flatnonzero(low <= near), n - at - 1)
+        # Differing bits bound the score from below; a sum beyond 255 wraps around, and is scored for nothing.
+        low = np.bitwise_count(words[0, at : at + step, None] ^ words[0, None, at + 1 :])
+        for word in words[1:]:
+            low += np.bitwise_count(word[at : at + step, None] ^ word[None, at + 1 :])
+        if low.min() > near:
+            continue
+        a, b = np.divmod(_true(low <= near), n - at - 1)
         a, b = a + at, b + at + 1
         a, b = a[a < b], b[a < b]
         for begin in range(0, len(a), CELLS // 8):
@@ -277,8 +278,10 @@ def _small_cell_pairs(key: np.ndarray, bits: np.ndarray, length: np.ndarray, nea
 def _first_shared(bits: np.ndarray, a: np.ndarray, b: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Whether a pair that shares a cell of ``table`` shares none of an earlier one."""
     chosen = np.zeros((TABLES, BUCKETS), dtype=bool)
-    np.put_along_axis(chosen, _positions(), True, axis=1)
-    differ, first = bits[a, :2] ^ bits[b, :2], np.ones(len(a), dtype=bool)
+    for t, p in enumerate(_positions()):
+        chosen[t, p] = True
+    differ = bits[a] ^ bits[b]
+    differ, first = differ[:, :2] | differ[:, 2:4] | differ[:, 4:], np.ones(len(a), dtype=bool)
     for t, mask in enumerate(np.packbits(chosen, axis=1).view(np.uint64)):
         first &= (table <= t) | (differ & mask).any(axis=1)
     return first
@@ -338,6 +341,8 @@ def fingerprint_classes(
     docs: DataFrame, references: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", ref_id: str = "item_id", ref_text: str = "text", near: int = NEAR
 ) -> DataFrame:
     """``fingerprint_documents``, class_<id_col> and links, of every input row."""
+    if near > NEAR:
+        raise ValueError(f"parts are made for scores up to {NEAR}; {near} would lose pairs")
     prints = cut(fingerprint_documents(docs, references, id_col, text_col, ref_id, ref_text)).toDF(*_COLUMNS)
     kind = prints.schema["_gf_id"].dataType
     real = prints.filter("_gf_id IS NOT NULL AND _gf_digest IS NOT NULL")

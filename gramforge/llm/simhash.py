@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import add_up, components, cut, edges_and_links, named, row_count, slices, split_crowded, whole_tasks, without
+from .common import add_up, components, cut, edges_and_links, named, row_count, slices, split_crowded, true_places as _true, whole_tasks, without
 
 BITS = 128
 #: Pairs within this Hamming distance are near duplicates.
@@ -246,14 +246,6 @@ def _words(batch: pa.RecordBatch, at: int) -> np.ndarray:
     return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (at, at + 1)], axis=1).view(np.uint64)
 
 
-def _true(near: np.ndarray) -> np.ndarray:
-    """``flatnonzero``, fast where few are true."""
-    octets = np.packbits(near.reshape(-1))
-    at = np.flatnonzero(octets)
-    k, bit = np.nonzero(np.unpackbits(octets[at][:, None], axis=1))
-    return at[k] * 8 + bit
-
-
 def _distances(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
     out = np.bitwise_count(a0[:, None] ^ b0[None])
     out += np.bitwise_count(a1[:, None] ^ b1[None])

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -140,3 +141,19 @@ def test_without_broadcasts(spark, docs, words, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {(r["doc_id"], r["class_doc_id"], r["links"]) for r in got} == {(1, 1, 2), (2, 1, 2), (3, 3, 0), (4, 1, 2), (None, None, None)}
+
+
+def test_pairs_at_the_bound_share_a_cell():
+    """Sixteen buckets one step apart, wherever they are; choices of positions lost some of these."""
+    r = np.random.default_rng(8)
+    q = r.integers(1, 3, size=(4000, op.BUCKETS)).astype(np.uint8)
+    apart = np.argsort(r.random(q.shape), axis=1) < op.NEAR
+    other = np.where(apart, 3 - q, q).astype(np.uint8)
+    assert (np.abs(q.astype(int) - other).sum(axis=1) == op.NEAR).all()
+    keys, others = op.cell_keys(q), op.cell_keys(other)
+    assert (keys == others).any(axis=1).all()
+    both, n = np.concatenate([q, other]), len(q)
+    for t in range(op.TABLES):
+        shared = np.flatnonzero(keys[:, t] == others[:, t])
+        first = op._first_shared(op._bits(both), shared, shared + n, np.full(len(shared), t))
+        assert (first == ~(keys[shared, :t] == others[shared, :t]).any(axis=1)).all()
