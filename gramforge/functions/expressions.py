@@ -13,13 +13,18 @@ def score(freq: Column, length: Column, weight_freq: float = 1.0, weight_len: fl
     return F.lit(float(weight_freq)) * F.ln(F.lit(1.0) + freq) + F.lit(float(weight_len)) * F.ln(length.cast("double"))
 
 
+def exact_key(weight_freq: float, weight_len: float) -> bool:
+    """Whether phrases rank by the exact product (1 + freq) * length."""
+    return weight_freq == weight_len and weight_freq > 0
+
+
 def rank_key(freq: Column, length: Column, weight_freq: float = 1.0, weight_len: float = 1.0) -> Column:
     """A key that orders as ``score`` does, without ties broken by rounding.
 
     With equal positive weights the exact product (1 + freq) * length; else the
     score to 12 places.
     """
-    if weight_freq == weight_len and weight_freq > 0:
+    if exact_key(weight_freq, weight_len):
         return (F.lit(1.0) + freq) * length
     return F.round(score(freq, length, weight_freq, weight_len), 12)
 

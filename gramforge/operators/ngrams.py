@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import strip_characters
 from ..sources.shared import broadcast_upto, cut
+from .batchgrams import counter
 
 #: Starts owned by one chunk of a long sentence.
 STRIDE = 256
@@ -15,6 +16,8 @@ STRIDE = 256
 PIVOT_LENGTH = 9
 #: Frequent prefixes up to this number are broadcast.
 BROADCAST_ROWS = 200_000
+#: Characters of a batch that is counted in one task (some 30 bytes each there).
+BATCH_CHARS = 8_000_000
 
 
 def strip_noise(sentences: DataFrame, removes: str | tuple[str, ...], sentence: str = "sentence") -> DataFrame:
@@ -90,6 +93,32 @@ def count_ngrams(
     return _table(short.unionByName(long), list(keep))
 
 
+def split_by_size(sentences: DataFrame, batch: str, sentence: str = "sentence") -> tuple[DataFrame, DataFrame | None]:
+    """Sentences of batches that one task can hold, and of those that none should,
+    None if there are none."""
+    sizes = sentences.groupBy(batch).agg(F.sum(F.length(sentence)).alias("_chars"))
+    large = cut(sizes.filter(F.col("_chars") > BATCH_CHARS).select(batch))
+    if large.isEmpty():
+        return sentences, None
+    large = broadcast_upto(large, BROADCAST_ROWS)
+    return sentences.join(large, batch, "left_anti"), sentences.join(large, batch, "left_semi")
+
+
+def count_batches(
+    sentences: DataFrame, min_length: int, longest: int, min_count: int, batch: str, removes: str | tuple[str, ...], sentence: str = "sentence", top_only: bool = False
+) -> DataFrame:
+    """``count_ngrams`` by batch of the sentences without noise, a batch in one task.
+
+    ``top_only`` leaves out grams in a gram of the batch whose product of one more
+    than the count and the length is greater.
+    """
+    if not all(len(r) == 1 for r in removes):
+        sentences, removes = strip_noise(sentences, removes, sentence), ""
+    count = counter(max(1, min_length), longest, min_count, "".join(removes), top_only)
+    groups = sentences.select(F.col(batch).cast("bigint").alias("batch_id"), F.col(sentence).alias("sentence")).groupBy("batch_id")
+    return groups.applyInArrow(count, "batch_id bigint, seqchar string, length int, freq double").withColumnRenamed("batch_id", batch)
+
+
 def count_half_batch(sentences: DataFrame, min_length: int, min_count: int, batch: str, sizes: DataFrame, sentence: str = "sentence") -> DataFrame:
     """``count_ngrams`` by batch, of grams of up to half as many characters as the
     batch has sentences by ``sizes`` (batch, _sentences)."""

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PhraseConfig
-from ..operators.containment import drop_contained_batch, drop_contained_final
+from ..functions.expressions import exact_key
+from ..operators.containment import add_rank, drop_contained_batch, drop_contained_final
 from ..operators.knowns import count_knowns, union_known_ngrams
-from ..operators.ngrams import count_half_batch, count_ngrams, strip_noise
+from ..operators.ngrams import count_batches, count_half_batch, count_ngrams, split_by_size, strip_noise
 from ..operators.regroup import regroup
 from ..operators.selection import exclude_unnecessary, select_phrases, shape_filter
 from ..operators.sentences import assign_batches, split_sentences
@@ -39,20 +40,43 @@ class PhraseMiner:
     def candidates(self, sentences: DataFrame) -> DataFrame:
         """(batch_id, seqchar, length, freq) of n-grams and known terms."""
         cfg = self.cfg
-        stripped = strip_noise(sentences, cfg.removes)
         if cfg.half_batch:
             sizes = sentences.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_sentences"))
-            grams = count_half_batch(stripped, cfg.min_length, cfg.min_count, "batch_id", sizes)
+            grams = count_half_batch(strip_noise(sentences, cfg.removes), cfg.min_length, cfg.min_count, "batch_id", sizes)
         else:
-            grams = count_ngrams(stripped, cfg.min_length, cfg.longest, cfg.min_count, "batch_id")
+            small, large = split_by_size(sentences, "batch_id")
+            grams = self._counted(small)
+            if large is not None:
+                grams = grams.unionByName(self._counted_apart(large))
         if not cfg.knowns:
             return grams
         return union_known_ngrams(count_knowns(sentences, cfg.knowns, "batch_id"), grams)
 
+    def _counted(self, sentences: DataFrame, top_only: bool = False) -> DataFrame:
+        """N-grams of batches, each in one task."""
+        cfg = self.cfg
+        return count_batches(sentences, cfg.min_length, cfg.longest, cfg.min_count, "batch_id", cfg.removes, top_only=top_only)
+
+    def _counted_apart(self, sentences: DataFrame) -> DataFrame:
+        """N-grams of batches that are too large for one task."""
+        cfg = self.cfg
+        return count_ngrams(strip_noise(sentences, cfg.removes), cfg.min_length, cfg.longest, cfg.min_count, "batch_id")
+
+    def _held(self, sentences: DataFrame) -> DataFrame:
+        """Ranked candidates that no higher one of their batch contains."""
+        cfg = self.cfg
+        if cfg.half_batch or cfg.knowns or not exact_key(cfg.weight_freq, cfg.weight_len):
+            return drop_contained_batch(cut(self.candidates(sentences)), cfg, "batch_id")
+        small, large = split_by_size(sentences, "batch_id")
+        held = add_rank(self._counted(small, top_only=True), cfg)
+        if large is not None:
+            held = held.unionByName(drop_contained_batch(cut(self._counted_apart(large)), cfg, "batch_id"))
+        return held
+
     def batch_phrases(self, sentences: DataFrame) -> DataFrame:
         """Survivors of every batch: batch_id, seqchar, length, freq, sc_index, knowns."""
         cfg = self.cfg
-        ranked = drop_contained_batch(cut(self.candidates(sentences)), cfg, "batch_id")
+        ranked = self._held(sentences)
         kept = exclude_unnecessary(ranked, cfg.unnecessary)
         if cfg.selection > 0:
             kept = shape_filter(kept, cfg)

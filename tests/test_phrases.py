@@ -354,3 +354,50 @@ def test_every_positive_pattern_occurs_in_the_japanese_corpus(spark):
 
     rows = queries.QUERIES["positive_flags_japanese"](spark, "").toPandas()
     assert all(rows[c].any() and not rows[c].all() for c in rows.columns if c not in ("batch_id", "seqchar"))
+
+
+def grams_of(rows):
+    return {(x["batch_id"], x["seqchar"], x["length"], x["freq"]) for x in rows}
+
+
+@pytest.mark.parametrize("changes", [{}, {"min_count": 0, "max_length": 12}, {"min_length": 0, "removes": ("ア", "ab", "")}, {"max_length": 0}])
+def test_a_batch_in_one_task_equals_all_batches_by_rows(spark, changes):
+    """Counts and containment, also with characters beyond the basic plane, NUL and many letters."""
+    cfg = PhraseConfig(min_count=2, min_length=2, max_length=9, selection=0, size_sentence=37).but(**changes)
+    r = random.Random(3)
+    texts = random_texts(11, 150, "アイab犬😀\0é") + ["".join(chr(0x4E00 + r.randint(0, 3000)) for _ in range(200)) + "。" + "😀" * 40] * 4 + ["", None, " \n。"]
+    m = PhraseMiner(cfg)
+    pieces = m.sentences(texts_df(spark, texts)).localCheckpoint()
+    plain = ngrams.count_ngrams(ngrams.strip_noise(pieces, cfg.removes), cfg.min_length, cfg.longest, cfg.min_count, "batch_id").localCheckpoint()
+    expected = grams_of(plain.collect())
+    rows = m.candidates(pieces).collect()
+    assert grams_of(rows) == expected and len(rows) == len(expected)
+    held = grams_of(m._held(pieces).collect())
+    assert held == grams_of(containment.drop_contained_batch(plain, cfg, "batch_id").collect())
+    assert cfg.max_length == 0 or 50 < len(held) < len(expected)
+
+
+def test_batches_too_large_for_a_task_give_the_same(spark, monkeypatch):
+    cfg = PhraseConfig(min_count=2, min_length=2, max_length=11, selection=0, size_sentence=40)
+    m = PhraseMiner(cfg)
+    pieces = m.sentences(texts_df(spark, random_texts(12, 60) + ["犬猫ab" * 60] * 50)).localCheckpoint()
+    whole, held = grams_of(m.candidates(pieces).collect()), grams_of(m._held(pieces).collect())
+    sizes = sorted(x[0] for x in pieces.groupBy("batch_id").agg(F.sum(F.length("sentence"))).select("sum(length(sentence))").collect())
+    for bound in (0, sizes[0]):
+        monkeypatch.setattr(ngrams, "BATCH_CHARS", bound)
+        assert grams_of(m.candidates(pieces).collect()) == whole
+        assert grams_of(m._held(pieces).collect()) == held
+    assert sizes[0] < sizes[-1]
+
+
+def test_broken_utf8_is_counted_by_what_can_be_read(spark):
+    df = spark.createDataFrame([(0,)], "batch_id bigint").select("batch_id", F.expr("cast(X'FF6162636465' as string)").alias("sentence"))
+    rows = PhraseMiner(min_count=0, selection=0).candidates(df).collect()
+    assert {x["seqchar"] for x in rows} == {"abcd", "bcde", "abcde"}
+
+
+def test_the_document_phrases_make_no_rows_of_infrequent_grams(spark):
+    """Neither grams nor the substrings of candidates go through a shuffle."""
+    m = PhraseMiner(selection=0, unnecessary=())
+    plan = m.batch_phrases(m.sentences(texts_df(spark, ["abcdefgh"] * 9)))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "substring(" not in plan
