@@ -14,7 +14,7 @@ from ..operators.knowns import count_knowns, union_known_ngrams
 from ..operators.ngrams import count_batches, count_half_batch, count_ngrams, split_by_size, strip_noise
 from ..operators.regroup import regroup
 from ..operators.selection import exclude_unnecessary, select_phrases, shape_filter
-from ..operators.sentences import assign_batches, split_sentences
+from ..operators.sentences import batch_texts
 from ..operators.similarity import remove_similar
 from ..sources.shared import cut
 
@@ -34,8 +34,7 @@ class PhraseMiner:
 
     def sentences(self, texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """(batch_id, sentence). Texts are taken in the order of ``key``."""
-        pieces = split_sentences(texts, key, text)
-        return assign_batches(pieces, self.cfg.size_sentence, [key, "pos", "sentence"]).select("batch_id", "sentence")
+        return batch_texts(texts, self.cfg.size_sentence, key, text)
 
     def candidates(self, sentences: DataFrame) -> DataFrame:
         """(batch_id, seqchar, length, freq) of n-grams and known terms."""

@@ -401,3 +401,20 @@ def test_the_document_phrases_make_no_rows_of_infrequent_grams(spark):
     m = PhraseMiner(selection=0, unnecessary=())
     plan = m.batch_phrases(m.sentences(texts_df(spark, ["abcdefgh"] * 9)))._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "substring(" not in plan
+
+
+@pytest.mark.parametrize("bound", [0, 1000])
+def test_texts_are_batched_without_being_put_in_order(spark, monkeypatch, bound):
+    """Sentences are not written to number them; repeated and null keys are numbered as before."""
+    monkeypatch.setattr(sentences, "BROADCAST_TEXTS", bound)
+    r = random.Random(9)
+    texts = [None if i % 7 == 3 else "。".join(r.choice(["", "ab", f"s{i}", "x\ny"]) for _ in range(r.randint(0, 9))) for i in range(80)]
+    rows = [(1000 - i, t) for i, t in enumerate(texts)]
+    r.shuffle(rows)
+    for extra in ([], [(950, "zz。aa")], [(None, "first。second")]):
+        table = spark.createDataFrame(rows + extra, "doc_id bigint, text string").repartition(5)
+        got = sentences.batch_texts(table, 6)
+        order = sentences.assign_batches(sentences.split_sentences(table), 6, ["doc_id", "pos", "sentence"]).select("batch_id", "sentence")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, order.collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("Window" in plan) == bool(extra)
