@@ -418,3 +418,19 @@ def test_texts_are_batched_without_being_put_in_order(spark, monkeypatch, bound)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, order.collect()))
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert ("Window" in plan) == bool(extra)
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "ngram_counts",
+    ],
+)
+def test_conversation_queries_make_no_rows_of_grams(spark, tmp_path, name):
+    """Grams are counted within a task: none is a row before it is known to be frequent."""
+    from gramforge import queries
+
+    chat = spark.createDataFrame([(i // 2, i % 2, "user", "abcdefghijklmnop") for i in range(20)], "conv_id bigint, turn bigint, role string, text string")
+    chat.write.parquet(f"{tmp_path}/conversations.parquet")
+    plan = queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "sequence(" not in plan and "substring(" not in plan
