@@ -424,6 +424,7 @@ def test_texts_are_batched_without_being_put_in_order(spark, monkeypatch, bound)
     "name",
     [
         "ngram_counts",
+        "union_known_ngram",
     ],
 )
 def test_conversation_queries_make_no_rows_of_grams(spark, tmp_path, name):
