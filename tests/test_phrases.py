@@ -428,6 +428,7 @@ def test_texts_are_batched_without_being_put_in_order(spark, monkeypatch, bound)
         "phrase_score",
         "top_phrases",
         "phrase_rank",
+        "cross_batch_regroup",
     ],
 )
 def test_conversation_queries_make_no_rows_of_grams(spark, tmp_path, name):
